@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,16 +58,17 @@ def _runs(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, .
             grams = mixed((sums[k:] - sums[:-k]) * up[: len(part) - k + 1])
             low = U(0xFFFFFF)
             where = (sliding_min((grams & ~low) | np.arange(len(grams), dtype=U), length - k + 1) & low).astype(np.int64)
-            starts = np.arange(base, base + len(where))
-            row = np.searchsorted(off, starts, "right") - 1
-            inside = starts + length <= off[row + 1]
+            # Strings that end within their row; at a row's end at least length - 1 starts are out, which parts the rows.
+            ends = np.repeat(off[1:], np.diff(off))[base : base + len(where)]
+            inside = np.arange(base + length, base + length + len(where)) <= ends
             new = inside.copy()
-            new[1:] &= (where[1:] != where[:-1]) | ~inside[:-1] | (row[1:] != row[:-1])
+            new[1:] &= (where[1:] != where[:-1]) | ~inside[:-1]
             first = np.flatnonzero(new)
             if len(first):
-                n = np.add.reduceat(inside.astype(np.int64), first)
+                n = np.add.reduceat(inside, first, dtype=np.int64)
                 ctx = mixed((sums[first + n + length - 1] - sums[first]) * up[first]) + n.astype(U)
-                out.append((row[first], base + first - off[row[first]], n, grams[where[first]], ctx))
+                row = np.searchsorted(off, base + first, "right") - 1
+                out.append((row, base + first - off[row], n, grams[where[first]], ctx))
         base += PIECE
     if not out:
         z = np.zeros(0, np.int64)
@@ -99,9 +101,12 @@ def heavy_anchors(docs: DataFrame, length: int) -> dict[int, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = _batch_runs(b, length)
-            if got is not None:
-                anchor, n = np.unique(got[3][~got[5]], return_counts=True)
+            pairs = [np.stack(_runs(data, off, length)[3:]) for _, data, off in rows_as_bytes(b.column(1), SLICE)]
+            if pairs:
+                anchor, ctx = np.concatenate(pairs, axis=1)
+                found, n = np.unique(anchor, return_counts=True)
+                often = np.isin(anchor, found[n >= HEAVY_LOCAL])
+                anchor, n = np.unique(np.unique(np.stack([anchor[often], ctx[often]]), axis=1)[0], return_counts=True)
                 many = n >= HEAVY_LOCAL
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[many].view(np.int64)), pa.array(n[many])], names=["anchor", "n"])
 
@@ -146,16 +151,23 @@ def sort_runs(runs: DataFrame) -> DataFrame:
     )
 
 
-def suffix_order(sym: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix array of ``sym`` (values below 512) in the order of the first ``depth`` symbols, by prefix doubling."""
-    n = len(sym)
-    padded = np.concatenate([sym, np.zeros(7, np.int64)])
-    key = np.zeros(n, np.int64)
-    for j in range(7):
-        key = (key << 9) | padded[j : j + n]
-    k = 7
+PACK = 7
+
+
+def packed_symbols(sym: np.ndarray) -> np.ndarray:
+    """The ``PACK`` symbols (below 512) from every position on as one integer."""
+    padded = np.concatenate([sym, np.zeros(PACK, np.int64)])
+    key = np.zeros(len(sym), np.int64)
+    for j in range(PACK):
+        key = (key << 9) | padded[j : j + len(sym)]
+    return key
+
+
+def suffix_order(key: np.ndarray, depth: int) -> np.ndarray:
+    """Suffix array in the order of the first ``depth`` symbols, by prefix doubling from the packed symbols."""
+    n, k = len(key), PACK
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.zeros(n, np.int64)
         rank[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
         if k >= depth:
@@ -165,28 +177,42 @@ def suffix_order(sym: np.ndarray, depth: int) -> np.ndarray:
         k *= 2
 
 
-def common_prefix_intervals(sym: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+def common_prefix_intervals(sym: np.ndarray, packed: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Interval number of each suffix in ``order``; suffixes of one interval share at least ``length`` symbols.
 
-    Breadth-first backward extension: intervals of all strings of l symbols give those of l + 1 symbols; an interval's
-    end that no shorter string has reached has common-prefix value l. Expansion stops below ``length``.
+    Breadth-first backward extension on the Burrows-Wheeler transform: intervals of all strings of l symbols give those
+    of l + 1 symbols, and an interval's end that no shorter string has reached has common-prefix value l. Values below
+    ``PACK`` come with the packed symbols, so expansion begins with the strings of ``PACK`` symbols; it stops below
+    ``length``. An interval's children are the runs
+    that its members' last-to-first images form within each letter.
     """
-    n = len(sym)
-    letters, code = np.unique(sym, return_inverse=True)
-    bwt = code[order - 1]
-    occ = np.zeros((n + 1, len(letters)), np.int32)
-    occ[np.arange(1, n + 1), bwt] = 1
-    np.cumsum(occ, axis=0, out=occ)
-    start = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(letters)))])[:-1].astype(np.int32)
-    ended = np.zeros(n + 1, bool)
-    ended[[0, n]] = True
-    lo, hi = np.array([0]), np.array([n])
-    for _ in range(length):
-        left, right = occ[lo] + start, occ[hi] + start
-        new = (right > left) & ~ended[right]
-        lo, hi = left[new], right[new]
+    n, letter = len(sym), sym[order]
+    last_to_first = np.empty(n, np.int64)
+    last_to_first[np.argsort(sym[order - 1].astype(np.uint16), kind="stable")] = np.arange(n)
+    ended = np.ones(n + 1, bool)
+    here = packed[order]
+    ended[1:n] = here[1:] != here[:-1]
+    edge = np.flatnonzero(ended)
+    lo, hi = edge[:-1], edge[1:]
+    # Strings of PACK symbols whose end was reached last: it differs from the next string in the last symbol only.
+    newest = np.zeros(len(lo), bool)
+    newest[:-1] = here[lo[:-1]] >> 9 == here[lo[1:]] >> 9
+    lo, hi = lo[newest], hi[newest]
+    for _ in range(PACK, length):
         if not len(lo):
             break
+        width = hi - lo
+        owner = np.repeat(np.arange(len(lo)), width)
+        image = last_to_first[np.arange(len(owner)) - np.repeat(np.cumsum(width) - width - lo, width)]
+        by = np.argsort(image)
+        image, owner = image[by], owner[by]
+        head = np.ones(len(image), bool)
+        head[1:] = (image[1:] != image[:-1] + 1) | (owner[1:] != owner[:-1]) | (letter[image[1:]] != letter[image[:-1]])
+        first = np.flatnonzero(head)
+        left = image[first]
+        right = left + np.diff(np.append(first, len(image)))
+        new = ~ended[right]
+        lo, hi = left[new], right[new]
         ended[hi] = True
     return np.cumsum(ended[:n]) - 1
 
@@ -202,9 +228,10 @@ def _compare(length: int):
         sizes = np.fromiter(map(len, ctx), np.int64, len(ctx))
         begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         sym[begin + sizes], sym[-1] = 1, 0
-        order = suffix_order(sym, length)
+        packed = packed_symbols(sym)
+        order = suffix_order(packed, length)
         where = np.empty(len(sym), np.int64)
-        where[order] = common_prefix_intervals(sym, order, length)
+        where[order] = common_prefix_intervals(sym, packed, order, length)
         owner = np.repeat(np.arange(len(ctx)), n)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         group, d, s = where[begin[owner] + step], doc[owner], at[owner] + step
@@ -233,16 +260,18 @@ def _compare(length: int):
 def _contexts(length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                raw, runs = (b.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass"), b.column(2)[i].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r["route"] for r in runs], pa.int64()), pa.array([b.column(0)[i].as_py()] * len(runs), pa.int64()),
-                        pa.array([r["at"] for r in runs], pa.int64()), pa.array([r["n"] for r in runs], pa.int32()),
-                        pa.array([r["heavy"] for r in runs], pa.bool_()), pa.array([raw[r["at"] : r["at"] + r["n"] + length - 1] for r in runs], pa.binary()),
-                    ],
-                    names=["route", "doc_id", "at", "n", "heavy", "bytes"],
-                )
+            runs = b.column(2)
+            size = runs.value_lengths().to_numpy(zero_copy_only=False)
+            route, at, n, heavy = runs.flatten().flatten()
+            spans = zip(at.to_pylist(), (at.to_numpy() + n.to_numpy() + length - 1).tolist(), strict=True)
+            pieces = []
+            for text, k in zip(b.column(1), size.tolist(), strict=True):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                pieces += [raw[s:e] for s, e in islice(spans, k)]
+            doc = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), size)))
+            for i in range(0, len(pieces), 20_000):
+                cols = [c.slice(i, 20_000) for c in (route, doc, at, n, heavy)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(pieces[i : i + 20_000], pa.binary())], names=["route", "doc_id", "at", "n", "heavy", "bytes"])
 
     return cut
 
