@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WHITE_RE, ascii_lower, let
+from quarry.llm.common import WHITE_RE, ascii_lower, let, materialized
 
 MIN_WORDS = 5
 
@@ -26,16 +26,20 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(line), WHITE_RE, " "))
 
 
+def is_unit(line: Column, min_words: int) -> Column:
+    return F.size(F.filter(F.split(line, WHITE_RE), lambda w: w != "")) >= min_words
+
+
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, i (line number) and digest of every unit."""
-    plain = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "raw")).withColumn("n", normalised(F.col("raw")))
-    long_enough = F.length("n") - F.length(F.translate("n", " ", "")) + 1 >= min_words
-    return plain.filter((F.col("n") != "") & long_enough).select("doc_id", "i", F.unhex(F.md5("n")).alias("digest"))
+    """doc_id, i (line number) and digest of every unit; each line is normalised once."""
+    digest = lambda raw: F.when(is_unit(raw, min_words), F.md5(normalised(raw)))
+    each = docs.select("doc_id", F.posexplode(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), digest)).alias("i", "digest"))
+    return each.filter("digest is not null").select("doc_id", "i", F.unhex("digest").alias("digest"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id and ``lines`` (sorted line numbers) of the units that occur earlier; documents without any are absent."""
-    u = units(docs, min_words)
+    u = materialized(units(docs, min_words), "line-units")
     first = u.groupBy("digest").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = u.join(first, "digest").filter(F.struct("doc_id", "i") > F.col("first"))
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("i")).alias("lines"))
@@ -52,5 +56,5 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.length(F.array_join(F.slice(ps, 1, i), "\n")) + F.when(i > 0, 1).otherwise(0),
         lambda s: F.struct(s.cast("long").alias("start"), (s + F.length(ps[i])).cast("long").alias("end")))))
     kept = F.array_join(F.filter(parts, lambda x, i: ~gone(i)), "\n")
-    n_units = F.size(F.filter(F.transform(parts, normalised), lambda n: (n != "") & (F.length(n) - F.length(F.translate(n, " ", "")) + 1 >= min_words)))
+    n_units = F.size(F.filter(parts, lambda x: is_unit(x, min_words)))
     return joined.withColumns({"removed": spans, "n_units": n_units.cast("long"), "text": F.when(F.size("_lines") > 0, kept).otherwise(F.col("text"))}).drop("_lines")
