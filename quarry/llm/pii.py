@@ -44,21 +44,24 @@ SURNAME_PARTS = {"latin": [["Bal", "Cor", "Dal", "Fer", "Gal", "Hol", "Kar", "La
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "hex": "abcdef"}
 
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_INITIALS = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: What stands before a secret's value; the look-ahead spares most positions the alternatives.
+_SECRET = r"(?=[pPtTsSaA])(?i:password|passwd|pwd|token|secret|api_key|apikey|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?"
 PATTERNS = {
-    "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9][A-Za-z0-9-]{0,62}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?<=(?i:password|passwd|pwd|token|secret|api_key|apikey|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})[A-Za-z0-9_/+.=-]{8,128}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9][A-Za-z0-9-]{0,62}){0,8}\.[A-Za-z]{2,24}",
+    "secret": _SECRET + r"[A-Za-z0-9_/+.=-]{8,128}",
     "access_key": r"\b(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)",
     "national_id": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?[ ](?:\p{{Lu}}\p{{Ll}}{{1,30}})(?:[ -]\p{{Lu}}\p{{Ll}}{{1,30}})?(?!\p{{L}})",
+    "name": rf"(?=[{_INITIALS}])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?[ ](?:\p{{Lu}}\p{{Ll}}{{1,30}})(?:[ -]\p{{Lu}}\p{{Ll}}{{1,30}})?(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every pattern needs one of these, so other texts need no matching.
-MAYBE = rf"[0-9@]|AKIA|gh[pousr]_|sk-|(?i:password|passwd|pwd|token|secret|api_?key|access_key)|(?:{_TITLE})\.?[ ]\p{{Lu}}"
+MAYBE = rf"[0-9@=:]|AKIA|gh[pousr]_|sk-|(?=[{_INITIALS}])(?:{_TITLE})\.?[ ]\p{{Lu}}"
 
 
 def _kind(value: Column) -> Column:
@@ -77,6 +80,7 @@ def _normal(kind: Column, value: Column) -> Column:
         .when(kind.isin("phone", "card", "national_id"), F.regexp_replace(value, r"[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
         .when(kind == "name", F.regexp_replace(value, r"\.? ", " "))
+        .when(kind == "secret", F.regexp_replace(value, f"^{_SECRET}", ""))
         .otherwise(value)
     )
 
@@ -148,7 +152,7 @@ def _poured(kind: Column, value: Column, surrogate: Column) -> Column:
     )
     dotted = F.when(value.rlike(r"^\S+\. "), F.regexp_replace(surrogate, "^([^ ]+) ", "$1. ")).otherwise(surrogate)
     same = F.length(value) == F.length(surrogate)
-    return F.when((kind == "email") & same, case).when(kind.isin("phone", "card", "national_id", "iban"), taken).when(kind == "name", dotted).otherwise(surrogate)
+    return F.when((kind == "email") & same, case).when(kind.isin("phone", "card", "national_id", "iban"), taken).when(kind == "name", dotted).when(kind == "secret", F.concat(F.regexp_extract(value, f"^{_SECRET}", 0), surrogate)).otherwise(surrogate)
 
 
 def mentions(docs: DataFrame) -> DataFrame:
