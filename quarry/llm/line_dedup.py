@@ -5,8 +5,8 @@ white space collapsed and trimmed); shorter lines are always kept. Offsets refer
 end exclusive; a removed line goes with the line end that follows it.
 
 Shape of the job: lines are exploded with their digests (texts are not shuffled for this), one map-side-combined
-aggregate finds the first occurrence of every digest that occurs twice or more, one join returns to the later ones. A
-very frequent line is one row of the aggregate, and the join's probe side can be split by adaptive execution.
+aggregate finds the first occurrence of every digest that occurs twice or more and is written out, one join returns to
+the later ones. A very frequent line is one row of the aggregate, and adaptive execution splits the join's probe side.
 
 Defined results: null text is an empty one (no unit, nothing removed); rows that repeat an id and a line number count
 as the same occurrence and stay together; null ids come first in order; extra input columns pass through.
@@ -41,6 +41,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id and ``lines`` (sorted line numbers) of the units that occur earlier; documents without any are absent."""
     u = materialized(units(docs, min_words), "line-units")
     first = u.groupBy("digest").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Written first: with the aggregate right under the join, adaptive execution could not split a very common digest.
+    first = materialized(first, "line-first")
     later = u.join(first, "digest").filter(F.struct("doc_id", "i") > F.col("first"))
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("i")).alias("lines"))
 
