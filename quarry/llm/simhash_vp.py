@@ -227,6 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     group = member.join(nodes, member["node"] == nodes["fp"]).select("root", "node", "least")
     best = group.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = group.join(best, "root").select(F.col("node").alias("fp"), "component_id")
-    of_fp = nodes.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    #: Written out, so that the adaptive join below can split a fingerprint that very many documents share.
+    of_fp = materialized(nodes.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-class")
     hex16 = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(of_fp, "fp").select("doc_id", hex16.alias("fingerprint"), "component_id")
