@@ -9,6 +9,8 @@ from quarry.functions.text import comparable
 
 REVIEW = ["plan_conflict_kept_base", "plan_conflict_fused_diff", "plan_arg_missing_in_fused", "workflow_changed_without_plan", "plan_not_applied"]
 
+SETTLED = ["confirmed_by_plan", "base_only_unchanged", "filled_from_plan", "appended_from_plan", "overwritten_from_plan"]
+
 
 def audit_status(plan: Column, base: Column, fused: Column, required: Column) -> Column:
     """Status of one argument; null (absent) and '' (empty) differ."""
@@ -35,6 +37,40 @@ def audit(plan: DataFrame, base: DataFrame, fused: DataFrame, contracts: DataFra
     return out.withColumn("needs_review", F.col("status").isin(REVIEW))
 
 
+def resolve(audited: DataFrame, classes: DataFrame, contract: DataFrame) -> DataFrame:
+    """Adds class, allowed, action, confidence and requires_review to (node, arg, status).
+
+    ``classes`` has node and class; ``contract`` has class, arg and required. A class without any row has no contract.
+    """
+    known = contract.groupBy("class").agg(F.lit(True).alias("_contract"))
+    rule = contract.select("class", "arg", F.lit(True).alias("allowed"), F.col("required").alias("by_contract"))
+    j = audited.join(classes.select("node", "class"), "node", "left").join(known, "class", "left").join(rule, ["class", "arg"], "left").fillna({"_contract": False, "allowed": False, "by_contract": False})
+    status, allowed, needed, has = F.col("status"), F.col("allowed"), F.col("by_contract"), F.col("_contract")
+    out = lambda a, c, r: F.struct(F.lit(a).alias("action"), F.lit(c).alias("confidence"), F.lit(r).alias("requires_review"))
+    missing = status == "plan_arg_missing_in_fused"
+    done = (
+        F.when(status == "extra_plan_arg_ignored", out("ignore_plan_arg", 0.9, False))
+        .when(status.isin(SETTLED), out("no_action", 1.0, False))
+        .when(missing & has & ~allowed, out("ignore_plan_arg", 0.9, False))
+        .when(missing & allowed & needed, out("append_plan_arg", 0.75, False))
+        .when(missing & allowed, out("needs_review", 0.4, True))
+        .when(missing, out("needs_review", 0.2, True))
+        .when((status == "plan_conflict_kept_base") & allowed, out("keep_base", 0.65, True))
+        .when(status == "plan_conflict_kept_base", out("keep_base", 0.8, True))
+        .when(status.isin("plan_conflict_fused_diff", "plan_not_applied", "workflow_changed_without_plan"), out("needs_review", 0.25, True))
+        .otherwise(out("needs_review", 0.0, True))
+    )
+    return j.withColumn("_d", done).select("node", "class", "arg", "status", "allowed", "_d.action", "_d.confidence", "_d.requires_review")
+
+
+def golden_accuracy(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """One row: expected arguments, those met, those absent, and the share met (0 for none); an absent argument is not met."""
+    a = actual.select("node", "arg", F.col("value").alias("got"), F.lit(True).alias("there"))
+    j = expected.join(a, ["node", "arg"], "left")
+    met = F.count_if(F.col("there") & F.col("value").eqNullSafe(F.col("got")))
+    return j.agg(F.count("*").alias("total"), met.alias("met"), F.count_if(F.col("there").isNull()).alias("absent"), F.round(F.coalesce(F.try_divide(met, F.count("*")), F.lit(0.0)), 6).alias("accuracy"))
+
+
 def fuse(plan: DataFrame, base: DataFrame, mode: str = "fill_missing") -> DataFrame:
     """Fused arguments: empty base values are filled, all overwritten in ``overwrite``; plan-only ones are appended."""
     p, b = plan.select("node", "arg", F.col("value").alias("p")), base.select("node", "arg", F.col("value").alias("b"), F.lit(True).alias("has_base"))

@@ -14,6 +14,15 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "relation", "target").agg(F.count("*").alias("n")).withColumn("edge_id", ident)
 
 
+def merge_nodes(mentions: DataFrame) -> DataFrame:
+    """node_id, distinct evidence count, least evidence id, and the last non-empty label of (node_id, evidence_id, ord, label).
+
+    The evidence ids themselves stay rows of ``mentions``: a node named everywhere must not become one unbounded array.
+    """
+    label = F.max(F.when(F.coalesce("label", F.lit("")) != "", F.struct("ord", "label")))["label"]
+    return mentions.groupBy("node_id").agg(F.countDistinct("evidence_id").alias("n_evidence"), F.min("evidence_id").alias("first_evidence"), label.alias("label"))
+
+
 def same_as(nodes: DataFrame) -> DataFrame:
     """node_id and canonical_id of nodes whose names have the same set of tokens."""
     key = F.array_join(F.array_sort(F.array_distinct(tokens(F.col("name")))), " ")

@@ -26,6 +26,18 @@ def replay_metrics(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("requests"), ok.alias("n_valid"), (F.count("*") - ok).alias("n_invalid"), F.round(F.coalesce(F.try_divide(ok, F.count("*")), F.lit(0.0)), 6).alias("valid_rate"), F.round(F.coalesce(F.try_divide(ok, F.sum("duration")), F.lit(0.0)), 6).alias("per_second"))
 
 
+def endpoint_throughput(df: DataFrame, by: str, at: str) -> DataFrame:
+    """Requests, wall seconds between the first and the last, and requests per second (0 where no time passed)."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    wall = (micros(F.max(at)) - micros(F.min(at))) / 1e6
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.round(wall, 3).alias("wall_s"), F.round(F.coalesce(F.try_divide(F.count("*"), wall), F.lit(0.0)), 9).alias("per_second"))
+
+
+def most_frequent(df: DataFrame, items: Column, n: int) -> DataFrame:
+    """item and count of the ``n`` most frequent array elements, ties by item."""
+    return df.select(F.explode(items).alias("item")).groupBy("item").count().orderBy(F.desc("count"), "item").limit(n)
+
+
 def metric_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """name and after - before (0 where a metric is new); values of one name are summed first."""
     total = lambda d, c: d.groupBy("name").agg(F.sum("value").alias(c))
