@@ -6,12 +6,15 @@ of the benchmark are joined with seeds of every document; around each hit the it
 hit's diagonal, and words are compared position by position: an item is leaked into a document if some window of
 ``window`` words (the whole item if shorter) agrees in at least ``similarity`` of its words.
 
-Items shorter than ``window`` words have contiguous seeds of their own length besides. The benchmark is the small side: it is
+With the default window and similarity, every window of 8 to 13 words that agrees enough holds a seed of some mask. Items
+shorter than ``window`` words have contiguous seeds of their own length besides, and those of 5 to 7 words, where one
+substitution is allowed, one seed for each position left out. The benchmark is the small side: it is
 taken in blocks of at most ``BLOCK_BYTES`` of text (usually one), each sent to the tasks that scan the documents, so a
 benchmark of any size is covered by bounded broadcasts; no document text is shuffled.
 
 Defined results: null or empty texts have no words and never match; an item without words matches nothing; repeated
-rows are judged alike; extra columns are ignored.
+rows are judged alike; null ids are carried as null (``clean`` cannot tell their rows apart and keeps them); extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ BLOCK_BYTES = 8 << 20
 SLICE = 1 << 20
 #: Positions that a seed looks at; all others in its span may differ.
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 5, 8), (0, 1, 2, 4, 5), (0, 3, 4, 7, 9), (0, 1, 2, 3, 4))
+#: Lengths of items for which the masks above leave gaps: one seed for each position left out closes them.
+ONE_OUT = range(5, 8)
 SCHEMA = "doc_id long, item_id long, n_matched int, n_compared int, similarity double, first_word int"
 
 _WORD = np.zeros(256, np.uint8)
@@ -79,7 +84,7 @@ class _Index:
 
     def __init__(self, items: list[tuple[int, str | None]], p: LeakParams):
         column = pa.array([t for _, t in items], pa.string())
-        self.ids = np.array([i for i, _ in items], np.int64)
+        self.ids = pa.array([i for i, _ in items], pa.int64())
         words, first = [np.zeros(0, U)], [0]
         for _, data, off in rows_as_bytes(column, SLICE):
             w, at = hashed_words(data, off)
@@ -89,15 +94,17 @@ class _Index:
         self.words, self.first, self.p = np.concatenate(words), np.array(first, np.int64), p
         lengths = np.diff(self.first)
         short = sorted({int(n) for n in lengths if 0 < n < p.window})
-        self.masks = [*MASKS, *(tuple(range(n)) for n in short)]
+        #: Masks with the item length that they serve; 0 is any.
+        self.masks = [*((m, 0) for m in MASKS), *((tuple(range(n)), n) for n in short)]
+        self.masks += [(tuple(j for j in range(n) if j != i), n) for n in short if n in ONE_OUT for i in range(n)]
         owner = np.repeat(np.arange(len(items)), lengths)
         self.tables = []
-        for k, mask in enumerate(self.masks):
+        for k, (mask, only) in enumerate(self.masks):
             key = seeds(self.words, mask, k)
             at = np.arange(len(key))
             ok = owner[at] == owner[at + mask[-1]] if len(key) else np.zeros(0, bool)
-            if k >= len(MASKS):
-                ok &= lengths[owner[at]] == len(mask)
+            if only and len(key):
+                ok &= lengths[owner[at]] == only
             key, at = key[ok], at[ok]
             order = np.argsort(key, kind="stable")
             key, at = key[order], at[order]
@@ -170,10 +177,10 @@ def _scanner(items: list[tuple[int, str | None]], p: LeakParams):
                 words, starts = hashed_words(data, off)
                 for row, it, matched, compared, at in index.leaks(words, starts):
                     rows.append(first + row)
-                    for c, v in zip(cols, (int(index.ids[it]), matched, compared, matched / compared, at), strict=True):
+                    for c, v in zip(cols, (it, matched, compared, matched / compared, at), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int32())],
+                [ids.take(pa.array(rows, pa.int64())), index.ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int32())],
                 names=["doc_id", "item_id", "n_matched", "n_compared", "similarity", "first_word"],
             )
 

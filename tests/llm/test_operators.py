@@ -2,11 +2,14 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import re
 
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 
 import corpus_pipeline
 from quarry.llm import chat, decontaminate, html_main, licenses, line_dedup, pieces, pii, quality, simhash_vp, suffix_dedup
@@ -123,6 +126,37 @@ def test_decontamination(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 10), (2, 10), (5, 12)}
 
 
+def _leak_words(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def _leaks(doc, item, window=13):
+    """Whether some window of the item agrees with the document at 8 of 10 positions, over all diagonals."""
+    n, w = len(item), min(window, len(item))
+    if not w or len(doc) < w:
+        return False
+    ids = {x: i for i, x in enumerate(set(item))}
+    d, it = np.array([ids.get(x, -1) for x in doc]), np.array([ids[x] for x in item])
+    for diag in range(w - n, len(doc) - w + 1):
+        lo, hi = max(0, -diag), min(n, len(doc) - diag)
+        run = np.concatenate([[0], np.cumsum(d[diag + lo : diag + hi] == it[lo:hi])])
+        if hi - lo >= w and 10 * (run[w:] - run[:-w]).max() >= 8 * w:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 10, 11, 12, 13, 20])
+def test_every_allowed_substitution_is_found(spark, n):
+    item = [f"w{i}" for i in range(n)]
+    bad = [b for k in range(n // 5 + 1) for b in itertools.combinations(range(n), k)]
+    docs = [(j, " ".join("zz" if i in b else x for i, x in enumerate(item))) for j, b in enumerate(bad)]
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(None, " ".join(item))], "item_id long, text string"))
+    want = {j for j, t in docs if _leaks(t.split(), item)}
+    rows = found.collect()
+    assert {r["doc_id"] for r in rows} == want and all(r["item_id"] is None for r in rows)
+    assert n > 13 or len(want) == len(docs)
+
+
 def _base(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
@@ -147,6 +181,44 @@ def test_line_dedup(odd):
     assert rows[5, ""]["removed"][0]["end"] == len(" ".join(f"word{i}" for i in range(60)))
 
 
+def _kept_by_quality(docs, trusted):
+    """Verdict per document: base rules, then the mean log-ratio of smoothed multinomials over 65,536 buckets."""
+    cut = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in docs.items()}
+    slot = lambda w: xxhash.xxh64_intdigest(w.encode(), seed=42) & 0xFFFF
+    raw, good = collections.Counter(), collections.Counter()
+    for i, ws in cut.items():
+        counts = collections.Counter(map(slot, ws))
+        raw += counts
+        good += counts if i in trusted else collections.Counter()
+    total = lambda c: sum(c.values()) + 65536.0
+    weight = lambda b: round(math.log((good[b] + 1) / total(good)) - math.log((raw[b] + 1) / total(raw)), 4)
+    return {i for i, ws in cut.items() if not _base(docs[i])[-1] and sum(weight(slot(w)) for w in ws) / len(ws) >= -0.3}
+
+
+def _fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    hs = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
 def test_pipeline(spark):
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert rows and all(r["round_trip"] for r in rows) and len({r["doc_id"] for r in rows}) == len(rows)
+    """run() against plain Python: which documents each stage keeps; ids are the model's, and differ from the input's just where data were replaced."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    trusted = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["quality"] == 1 and r["toxic"] == 0}
+    bench = [_leak_words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    left = sorted(_kept_by_quality(docs, trusted))
+    prints, comp = np.array([_fingerprint(docs[i]) for i in left], np.uint64), list(range(len(left)))
+    while True:
+        new = [min(comp[j] for j in np.flatnonzero(np.bitwise_count(prints ^ p) <= 4)) for p in prints]
+        if new == comp:
+            break
+        comp = new
+    left = [i for k, i in enumerate(left) if comp[k] == k]
+    left = [i for i in left if not any(_leaks(_leak_words(docs[i]), b) for b in bench)]
+    rows = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert sorted(rows) == left and 0 < len(left) < len(docs)
+    m = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.PIECE_MODEL)
+    free = {r["doc_id"] for r in pii.replace(spark.createDataFrame([(i, docs[i]) for i in left], "doc_id long, text string"), "k").filter("size(entities) = 0").collect()}
+    assert free and all(rows[i]["round_trip"] for i in left)
+    assert all((rows[i]["ids"] == m.encode(docs[i])) == (i in free) for i in left)
