@@ -44,20 +44,38 @@ SELECT d.doc_id, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(rul
 FROM documents d LEFT JOIN ruled USING (doc_id)
 """
 
+# Sentences end after [.!?] and white space, wide marks, or a line end; \x1e stands for a border (no text holds it).
 OP10 = rf"""
-WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ps FROM documents),
-lines AS (SELECT doc_id, unnest(ps) AS raw, generate_subscripts(ps, 1) - 1 AS i FROM parts),
+WITH cut AS (
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?][ \t-\r]+|\n|[。！？…])', '\1' || chr(30), 'g'), chr(30)) AS ps FROM documents),
+parts AS (SELECT doc_id, unnest(ps) AS raw, generate_subscripts(ps, 1) AS i FROM cut),
 placed AS (
-  SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s,
+  SELECT *, coalesce(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s,
     trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+', ' ', 'g')) AS n
-  FROM lines),
-units AS (SELECT *, n <> '' AND length(n) - length(replace(n, ' ', '')) + 1 >= {line_dedup.MIN_WORDS} AS unit FROM placed),
-ranked AS (SELECT *, unit AND row_number() OVER (PARTITION BY unit, n ORDER BY doc_id, i) > 1 AS gone FROM units)
-SELECT doc_id, CAST(count(*) FILTER (unit) AS BIGINT) AS n_units, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
-  coalesce(string_agg(CAST(CAST(s AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(s + length(raw) AS BIGINT) AS VARCHAR), ',' ORDER BY i) FILTER (gone), '') AS removed_spans,
-  length(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_chars,
-  sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM ranked GROUP BY doc_id
+  FROM parts),
+sized AS (
+  SELECT *, CASE WHEN n = '' THEN 0 ELSE greatest(length(n) - length(replace(n, ' ', '')) + 1, ceil(len(regexp_extract_all(n, '[\x{{0E00}}-\x{{0FFF}}\x{{1780}}-\x{{17FF}}\x{{3000}}-\x{{DFFF}}\x{{20000}}-\x{{2FFFF}}]')) / {line_dedup.CHARS}.0)) END AS words FROM placed),
+summed AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM sized),
+docs AS (SELECT doc_id, list(n ORDER BY i) AS ns, list(upto ORDER BY i) AS sums FROM summed GROUP BY doc_id),
+stops AS (
+  SELECT s.doc_id, s.i, ns, len(list_filter(sums, lambda x: x < upto - words + {line_dedup.MIN_WORDS})) + 1 AS j
+  FROM summed s JOIN docs d USING (doc_id) WHERE words > 0 AND sums[-1] - upto + words >= {line_dedup.MIN_WORDS}),
+units AS (SELECT doc_id, i, j, array_to_string(list_filter(ns[i:j], lambda x: x <> ''), ' ') AS unit FROM stops),
+later AS (SELECT * FROM (SELECT doc_id, i, j, row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) AS r FROM units) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, j)) AS i FROM later),
+marked AS (
+  SELECT p.doc_id, p.i, p.s, p.raw, g.i IS NOT NULL AS gone, g.i IS NOT NULL AND NOT EXISTS (
+    SELECT 1 FROM gone h WHERE h.doc_id = p.doc_id AND h.i = p.i - 1) AS opens
+  FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i),
+spans AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked),
+span AS (SELECT doc_id, k, min(s) AS a, max(s + length(raw)) AS b FROM spans WHERE gone GROUP BY doc_id, k),
+listed AS (SELECT doc_id, string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(b AS BIGINT) AS VARCHAR), ',' ORDER BY a) AS removed_spans, count(*) AS n FROM span GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n_units FROM units GROUP BY doc_id)
+SELECT m.doc_id, coalesce(any_value(n_units), 0) AS n_units, coalesce(any_value(listed.n), 0) AS n_removed,
+  CAST(coalesce(sum(length(raw)) FILTER (gone), 0) AS BIGINT) AS n_removed_chars, coalesce(any_value(removed_spans), '') AS removed_spans,
+  length(coalesce(string_agg(raw, '' ORDER BY i) FILTER (NOT gone), '')) AS kept_chars,
+  sha256(coalesce(string_agg(raw, '' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked m LEFT JOIN listed ON m.doc_id = listed.doc_id LEFT JOIN counted ON m.doc_id = counted.doc_id GROUP BY m.doc_id
 """
 
 OP7 = r"""

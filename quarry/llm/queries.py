@@ -63,7 +63,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))), ",")
     return done.select(
-        "doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"),
+        "doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), "n_removed_chars", spans.alias("removed_spans"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 
