@@ -87,7 +87,7 @@ def _emit(min_words: int):
                 for i, j, normal in units(text.as_py(), min_words):
                     h = xxhash.xxh3_128_intdigest(normal)
                     rows.append(row)
-                    at.append(i << 32 | j)
+                    at.append(i << 32 | j - i)
                     high.append((h >> 64) - (1 << 63))
                     low.append((h & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
                 if len(rows) > 50_000 or row == b.num_rows - 1:
@@ -100,7 +100,7 @@ def _emit(min_words: int):
 
 
 def repeated_sentences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, digest (of the text) and ``ranges`` (array<long>: first sentence << 32 | sentence after the last) of the units that occur earlier."""
+    """doc_id, digest (of the text) and ``ranges`` (array<long>: first sentence << 32 | number of sentences) of the units that occur earlier."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
     found = materialized(keyed.mapInArrow(_emit(min_words), f"doc_id {kind}, digest long, at long, high long, low long"), "line-units")
@@ -149,7 +149,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             texts, spans, gone, n_units = [], [], [], []
             for text, ranges in zip(b.column(1), b.column(2), strict=True):
                 text = text.as_py()
-                left, cut = _cut(text, [(r >> 32, r & 0xFFFFFFFF) for r in ranges.as_py()]) if ranges.is_valid else (text, [])
+                left, cut = _cut(text, [(r >> 32, (r >> 32) + (r & 0xFFFFFFFF)) for r in ranges.as_py()]) if ranges.is_valid else (text, [])
                 texts.append(left)
                 spans.append([{"start": s, "end": e} for s, e in cut])
                 gone.append(sum(e - s for s, e in cut))

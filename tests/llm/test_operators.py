@@ -12,7 +12,7 @@ import sentencepiece
 import xxhash
 
 import corpus_pipeline
-from quarry.llm import chat, decontaminate, html_main, licenses, line_dedup, pieces, pii, quality, simhash_vp, suffix_dedup
+from quarry.llm import chat, decontaminate, html_main, pieces, pii, quality, simhash_vp, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, digest string"
@@ -74,12 +74,6 @@ def test_pii(odd):
     assert rows[0]["text"] is None and pii.replace(odd.limit(0), "k").count() == 0
 
 
-def test_license_scan(spark):
-    texts = [None, "", "Foo.\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0. Bar", "The MIT License is nice", "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License."]
-    got = [r["licences"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
-    assert got == [[], [], ["MIT"], ["CC-BY-NC-4.0"], [], ["Apache-2.0"]]
-
-
 def test_pieces_match_the_model(spark, odd):
     v = pieces.Vocabulary.load(corpus_pipeline.PIECE_MODEL)
     m = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.PIECE_MODEL)
@@ -175,12 +169,6 @@ def test_quality(spark, odd):
     assert len(rows) == docs.count() and not any(r["kept"] and r["base_failed"] for r in rows)
 
 
-def test_line_dedup(odd):
-    rows = {(r["doc_id"], r["text"]): r for r in line_dedup.remove_repeats(odd).collect()}
-    assert [(s["start"], s["end"]) for s in rows[7, "line one has five words"]["removed"]] == [(24, 47)]
-    assert rows[5, ""]["removed"][0]["end"] == len(" ".join(f"word{i}" for i in range(60)))
-
-
 def _kept_by_quality(docs, trusted):
     """Verdict per document: base rules, then the mean log-ratio of smoothed multinomials over 65,536 buckets."""
     cut = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in docs.items()}
