@@ -15,30 +15,37 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-_KNOWN = ", ".join(f"('{s}', '{i}')" for i, ss in licenses.SENTENCES.items() for s in ss)
-_KEYS = {f"{lic}#{i}": f",{','.join(r)}," for lic, rs in licenses.RULES.items() for i, r in enumerate(rs)}
+_KNOWN = ", ".join(f"('{s}', '{i}')" for s, i in licenses.dictionary().items())
+_RULES = ", ".join(f"('{n}', '{k}', {i})" for i, (n, k) in enumerate(licenses.rule_keys(licenses.all_rules()), 1))
 
 
-def _rule(name: str, key: str) -> str:
-    chain = "chain"
-    for longer in sorted((o for o in _KEYS.values() if key in o and o != key), key=len, reverse=True):
-        chain = f"replace({chain}, '{longer}', ',-,')"
-    return f"CASE WHEN contains({chain}, '{key}') THEN '{name}' END"
+def _plain(c: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.]+', ' ', 'g'), '\.( |$)', '\1', 'g'), '(^| )\.', '\1', 'g'))"
 
 
+# \x1e stands for a cut (no text holds it); the rules are tried one after the other, longest first.
 OP4 = rf"""
-WITH known(s, id) AS (VALUES {_KNOWN}),
+WITH RECURSIVE known(s, id) AS (VALUES {_KNOWN}), rule(n, k, r) AS (VALUES {_RULES}),
 cut AS (
-  SELECT doc_id, unnest(raw) AS raw, generate_subscripts(raw, 1) AS pos FROM (
-    SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?:;])[ \t-\r]+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10)) AS raw
-    FROM documents)),
-plain AS (
-  SELECT doc_id, pos, trim(regexp_replace(regexp_replace(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.]+', ' ', 'g'), '\.( |$)', '\1', 'g'), '(^| )\.', '\1', 'g')) AS s
-  FROM cut),
-seen AS (SELECT doc_id, string_agg(id, ',' ORDER BY pos) AS ids FROM plain JOIN known USING (s) GROUP BY doc_id),
-ruled AS (
-  SELECT doc_id, ids, list_filter([{', '.join(_rule(n, k) for n, k in _KEYS.items())}], lambda x: x IS NOT NULL) AS rules
-  FROM (SELECT *, ',' || ids || ',' AS chain FROM seen))
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)({licenses.SPDX})[ \t]+', '\1', 'g'),
+    '([.!?:;])[ \t-\r]+', '\1' || chr(30), 'g'), '\n([^A-Za-z0-9\n]*\n)+', chr(30), 'g'), chr(30)) AS ps FROM documents),
+pieces AS (SELECT doc_id, unnest(ps) AS raw, generate_subscripts(ps, 1) AS pos FROM cut),
+plain AS (SELECT *, {_plain("raw")} AS s FROM pieces),
+whole AS (SELECT doc_id, pos, 0 AS k, id FROM plain JOIN known USING (s)),
+open_ AS (SELECT doc_id, pos, string_split(raw, chr(10)) AS ls FROM plain ANTI JOIN known USING (s) WHERE contains(raw, chr(10))),
+ends AS (SELECT doc_id, pos, ls, unnest(range(2, len(ls))) AS k FROM open_),
+tails AS (SELECT doc_id, pos, k, {_plain("array_to_string(ls[k:], ' ')")} AS s FROM ends),
+tail AS (SELECT doc_id, pos, min(k) AS k, arg_min(id, k) AS id FROM tails JOIN known USING (s) GROUP BY doc_id, pos),
+lines AS (SELECT doc_id, pos, unnest(ls) AS raw, generate_subscripts(ls, 1) AS k FROM open_),
+alone AS (
+  SELECT doc_id, l.pos, l.k, id FROM (SELECT *, {_plain("raw")} AS s FROM lines) l JOIN known USING (s)
+  WHERE NOT EXISTS (SELECT 1 FROM tail t WHERE t.doc_id = l.doc_id AND t.pos = l.pos AND t.k <= l.k)),
+seen AS (SELECT doc_id, string_agg(id, ',' ORDER BY pos, k) AS ids FROM (FROM whole UNION ALL FROM tail UNION ALL FROM alone) GROUP BY doc_id),
+steps AS (
+  SELECT doc_id, ids, ',' || replace(ids, ',', ',,') || ',' AS chain, CAST([] AS VARCHAR[]) AS hits, 0 AS r FROM seen
+  UNION ALL
+  SELECT doc_id, ids, replace(chain, rule.k, ',-,'), CASE WHEN contains(chain, rule.k) THEN list_append(hits, rule.n) ELSE hits END, rule.r FROM steps JOIN rule ON rule.r = steps.r + 1),
+ruled AS (SELECT doc_id, ids, list_sort(hits) AS rules FROM steps WHERE r = (SELECT max(r) FROM rule))
 SELECT d.doc_id, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(rules, ','), '') AS rules,
   coalesce(array_to_string(list_sort(list_distinct(list_transform(rules, lambda r: split_part(r, '#', 1)))), ','), '') AS licences
 FROM documents d LEFT JOIN ruled USING (doc_id)
