@@ -19,8 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can read; the session's ``spark.checkpoint.dir``, or a local one where unset (tests)."""
+    """Folder that the driver and every executor can read: the session's ``spark.checkpoint.dir``, or a local one where unset (tests).
+
+    A local folder is no shared one on a cluster, so there the setting is required.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or NO_FOLDER_SET).rstrip("/")
 
 
@@ -32,6 +37,14 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, for columns of our own beside the caller's."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often the body mentions it."""
     return F.element_at(F.transform(F.array(value), body), 1)
