@@ -13,8 +13,8 @@ taken in blocks of at most ``BLOCK_BYTES`` of text (usually one), each sent to t
 benchmark of any size is covered by bounded broadcasts; no document text is shuffled.
 
 Defined results: null or empty texts have no words and never match; an item without words matches nothing; repeated
-rows are judged alike; null ids are carried as null (``clean`` cannot tell their rows apart and keeps them); extra columns
-are ignored.
+rows are judged alike; null ids are carried as null; extra columns are ignored by
+``find_leaks`` and pass through ``clean``.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import free_name
 from quarry.llm.textbytes import U, mixed, powers, prefix_sums, rows_as_bytes
 
 BLOCK_BYTES = 8 << 20
@@ -188,6 +189,8 @@ def _scanner(items: list[tuple[int, str | None]], p: LeakParams):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
-    """``docs`` without the documents that hold a leaked item."""
-    leaked = find_leaks(docs, benchmark, p).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti")
+    """``docs`` without the rows that hold a leaked item; rows are told apart by id and text."""
+    key = free_name(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    leaked = find_leaks(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, p).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(leaked, key, "left_anti").drop(key)

@@ -10,10 +10,13 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import chat, decontaminate, html_main, pieces, pii, quality, simhash_vp, suffix_dedup
 
+from tests.llm.test_stages import _components
+
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, digest string"
 
@@ -169,25 +172,44 @@ def test_quality(spark, odd):
     assert len(rows) == docs.count() and not any(r["kept"] and r["base_failed"] for r in rows)
 
 
-def _kept_by_quality(docs, trusted):
-    """Verdict per document: base rules, then the mean log-ratio of smoothed multinomials over 65,536 buckets."""
+def _kept_by_quality(docs, trusted, buckets=1 << 18):
+    """Verdict per document: base rules, then the mean weight of words and word pairs against the score that 98 % of the trusted reach."""
     cut = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in docs.items()}
-    slot = lambda w: xxhash.xxh64_intdigest(w.encode(), seed=42) & 0xFFFF
+    one = lambda w, seed=42: xxhash.xxh64_intdigest(w.encode(), seed=seed)
+    grams = {i: [h % buckets for h in [*map(one, ws), *(one(b, one(a)) for a, b in zip(ws, ws[1:]))]] for i, ws in cut.items()}
     raw, good = collections.Counter(), collections.Counter()
-    for i, ws in cut.items():
-        counts = collections.Counter(map(slot, ws))
-        raw += counts
-        good += counts if i in trusted else collections.Counter()
-    total = lambda c: sum(c.values()) + 65536.0
-    weight = lambda b: round(math.log((good[b] + 1) / total(good)) - math.log((raw[b] + 1) / total(raw)), 4)
-    return {i for i, ws in cut.items() if not _base(docs[i])[-1] and sum(weight(slot(w)) for w in ws) / len(ws) >= -0.3}
+    for i, gs in grams.items():
+        raw.update(gs)
+        good.update(gs if i in trusted else ())
+    share = sum(good.values()) / sum(raw.values())
+
+    def weight(g):
+        expected = raw[g] * share
+        ratio = math.log((good[g] + 1) / (expected + 1))
+        return round(ratio, 6) if abs(good[g] - expected) >= 6 * math.sqrt(expected + 1) and abs(ratio) >= 0.7 else 0.0
+
+    score = {i: sum(map(weight, gs)) / len(gs) for i, gs in grams.items() if not _base(docs[i])[-1]}
+    least = np.quantile([s for i, s in score.items() if i in trusted], 1 - 98 / 100)
+    return {i for i, s in score.items() if s >= least}
+
 
+def test_quality_against_plain_python(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    trusted = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and r["toxic"] == 0}
+    rows = quality.judge(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), labels).collect()
+    assert {r["doc_id"] for r in rows if r["kept"]} == _kept_by_quality(docs, trusted)
 
-def _fingerprint(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    grams = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
-    hs = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+def test_quality_odd_rows(spark, odd):
+    """Clashing columns, no trusted rows, an empty table, and a very long text."""
+    labels = spark.createDataFrame([(3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    clash = odd.withColumn("verdict", F.lit(1)).withColumn("score", F.lit("x"))
+    rows = quality.judge(clash, labels).collect()
+    assert len(rows) == odd.count() and all(r["verdict"] == 1 and r["kept"] == (not r["base_failed"]) for r in rows)
+    assert quality.judge(odd.limit(0), labels).count() == 0
+    long = spark.range(1).selectExpr("id as doc_id", "array_join(transform(sequence(1, 1000000), x -> concat('w', x)), ' ') as text")
+    assert quality.judge(long, labels).select("n_words", "n_repeat_words", "kept").first() == (1_000_000, 0, True)
 
 
 def test_pipeline(spark):
@@ -196,12 +218,7 @@ def test_pipeline(spark):
     trusted = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["quality"] == 1 and r["toxic"] == 0}
     bench = [_leak_words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     left = sorted(_kept_by_quality(docs, trusted))
-    prints, comp = np.array([_fingerprint(docs[i]) for i in left], np.uint64), list(range(len(left)))
-    while True:
-        new = [min(comp[j] for j in np.flatnonzero(np.bitwise_count(prints ^ p) <= 4)) for p in prints]
-        if new == comp:
-            break
-        comp = new
+    comp = _components([docs[i] for i in left])
     left = [i for k, i in enumerate(left) if comp[k] == k]
     left = [i for i in left if not any(_leaks(_leak_words(docs[i]), b) for b in bench)]
     rows = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
