@@ -34,8 +34,8 @@ def service_ids(text: Column) -> Column:
 
 
 def data_ids(text: Column) -> Column:
-    """Stand-alone words of four hexadecimal digits, upper-cased, distinct, first seen first."""
-    bare = F.transform(_words(text), lambda w: F.upper(F.regexp_extract(w, "^([0-9A-Fa-f]{4})$", 1)))
+    """Stand-alone words of four hexadecimal digits (the prefix ``DID`` is allowed), upper-cased, distinct, first seen first."""
+    bare = F.transform(_words(text), lambda w: F.upper(F.regexp_extract(w, "^(?:DID|did)?([0-9A-Fa-f]{4})$", 1)))
     return F.array_distinct(F.filter(bare, lambda w: w != ""))
 
 

@@ -100,7 +100,7 @@ def _ids(pattern: str, keep: str) -> str:
 _KNOWN = ", ".join(f"'{s}'" for s in T.SERVICE_IDS)
 
 
-@query("SELECT doc_id, array_to_string(list_sort(" + _ids("^([0-9A-Fa-f]{4})$", "w <> ''") + "), ',') AS data_ids, array_to_string(list_sort(" + _ids("^(?:0x)?([0-9A-Fa-f]{2})$", f"w IN ({_KNOWN})") + "), ',') AS service_ids FROM documents")
+@query("SELECT doc_id, array_to_string(list_sort(" + _ids("^(?:DID|did)?([0-9A-Fa-f]{4})$", "w <> ''") + "), ',') AS data_ids, array_to_string(list_sort(" + _ids("^(?:0x)?([0-9A-Fa-f]{2})$", f"w IN ({_KNOWN})") + "), ',') AS service_ids FROM documents")
 def id_extraction(spark, d):
     text = F.col("text")
     return _t(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(T.data_ids(text)), ",").alias("data_ids"), F.array_join(F.array_sort(T.service_ids(text)), ",").alias("service_ids"))
