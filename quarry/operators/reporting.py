@@ -6,18 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens_ceil
+from quarry.operators.measures import linear_quantiles, ranked_quantiles, value_counts
 
 
 def series_nearest_rank(df: DataFrame, by: str, value: str) -> DataFrame:
-    """n, min, max, mean, nearest-rank p50/p90/p95/p99, sample deviation and its ratio to the mean."""
-    pct = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").alias(f"p{p}") for p in (50, 90, 95, 99)]
+    """n, min, max, mean, nearest-rank p50/p90/p95/p99, sample deviation and its ratio to the mean.
+
+    Quantiles come from value counts, which combine before the shuffle, so a hot group costs its distinct values only.
+    """
     dev = F.coalesce(F.stddev_samp(value), F.lit(0.0))
-    return df.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean"), *pct, F.round(dev, 6).alias("stdev"), F.round(F.coalesce(F.try_divide(dev, F.avg(value)), F.lit(0.0)), 6).alias("cv"))
+    plain = df.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean"), F.round(dev, 6).alias("stdev"), F.round(F.coalesce(F.try_divide(dev, F.avg(value)), F.lit(0.0)), 6).alias("cv"))
+    ranks = ranked_quantiles(value_counts(df, [by], value), [by], {f"p{p}": p / 100 for p in (50, 90, 95, 99)})
+    return plain.join(ranks, by).select(by, "n", "min", "max", "mean", "p50", "p90", "p95", "p99", "stdev", "cv")
 
 
 def series_linear(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Median and p95 with linear interpolation."""
-    return df.groupBy(by).agg(F.count(value).alias("n"), F.round(F.percentile(value, 0.5), 6).alias("p50"), F.round(F.percentile(value, 0.95), 6).alias("p95"))
+    """Median and p95 with linear interpolation, from value counts."""
+    plain = df.groupBy(by).agg(F.count(value).alias("n"))
+    return plain.join(linear_quantiles(value_counts(df, [by], value), [by], {"p50": 0.5, "p95": 0.95}), by)
 
 
 def replay_metrics(df: DataFrame, by: list[str]) -> DataFrame:
