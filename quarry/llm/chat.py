@@ -1,7 +1,7 @@
 """Chat formatting on a prefix tree of conversations.
 
-A turn is rendered as ``<|im_start|>role\\ntext <|im_end|>\\n``; control strings inside a text are escaped by one more
-backslash in front, which reading back takes off again. Conversations that share initial turns share tree nodes; a node
+A turn is rendered as ``<|im_start|>role\\ntext <|im_end|>\\n``; control strings inside a text are broken by one more
+backslash after their first character (so none of them stands in the output whole), which reading back takes out again. Conversations that share initial turns share tree nodes; a node
 is named by the digest of its whole prefix. Whole copies collapse first (a map-side-combined aggregate on the last
 digest), so a very common conversation is one row. Distinct conversations are then range-partitioned by their path of digests, so
 that a very common first turn is spread over many tasks, and walked in that order, which is depth-first order of the tree.
@@ -32,8 +32,9 @@ from quarry.llm.common import materialized
 START, END = "<|im_start|>", " <|im_end|>\n"
 # Control strings of common chat templates.
 CONTROL = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|system|>", "<|user|>", "<|assistant|>"]
-_RAW = re.compile(r"(\\*)(" + "|".join(map(re.escape, CONTROL)) + ")")
-_SAFE = re.compile(r"\\(\\*)(" + "|".join(map(re.escape, CONTROL)) + ")")
+#: Patterns of control strings with any, or with one or more, backslashes after their first character.
+BROKEN = {mark: "|".join(re.escape(t[0]) + rf"\\{mark}" + re.escape(t[1:]) for t in CONTROL) for mark in "*+"}
+_RAW, _SAFE = re.compile(BROKEN["*"]), re.compile(BROKEN["+"])
 SHARD = 1 << 18
 PACKED = (
     "shard string, seq long, node binary, depth int, tokens string, start long, stop long, position long, "
@@ -42,11 +43,11 @@ PACKED = (
 
 
 def escape(text: str) -> str:
-    return _RAW.sub(r"\1\\\2", text)
+    return _RAW.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text)
 
 
 def unescape(text: str) -> str:
-    return _SAFE.sub(r"\1\2", text)
+    return _SAFE.sub(lambda m: m[0][0] + m[0][2:], text)
 
 
 def render(role: str, text: str) -> tuple[str, int, int]:

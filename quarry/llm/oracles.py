@@ -2,7 +2,8 @@
 
 from quarry.llm import chat, licenses, line_dedup
 
-_CONTROL = "|".join("".join("\\" + c if c in "<|>[]/()*+?." else c for c in t) for t in chat.CONTROL)
+_plain_re = lambda t: "".join("\\" + c if c in "<|>[]/()*+?." else c for c in t)
+_CONTROL = "|".join(_plain_re(t[0]) + r"\\*" + _plain_re(t[1:]) for t in chat.CONTROL)
 OP2 = rf"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
