@@ -4,8 +4,13 @@ Markup is stripped into lines, one per block of the page. What a page element su
 a sidebar, a notice, an advert, a form, a script, a style or reader comments stands for is blanked into a run of empty
 lines. Text length is then summed over sliding windows of ``WINDOW`` lines: a surge point is where the sum rises from
 zero, a dive point where it falls back to zero; the lines between are one candidate stretch. Stretches that touch an
-``article`` or ``main`` element are kept (all of them, whatever their length); a page without such elements keeps the
-stretches that hold at least ``SHARE`` of the longest one's text.
+``article`` or ``main`` element are chosen; on a page without one, the longest and all with at least ``SHARE`` of its
+text. All stretches from the first chosen one to the last are kept whole (inside ``article`` or ``main``, where there is
+one), so a short passage between two adverts stays.
+
+Which lines are blank is decided by element names and by words of class, id and role. Inside ``article`` and ``main`` a
+name must consist of such words (and neutral ones, such as ``box``) alone to blank a block, and headings stay: there
+``related-work`` and ``search-results`` are the author's own. Captions of figures stay.
 
 The job is narrow: one pass over each page inside Arrow batches, no shuffle, and memory for one page at a time.
 
@@ -28,13 +33,16 @@ WINDOW = 3
 SHARE = 0.2
 
 # Element names of HTML.
-DROPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "noscript", "template", "iframe", "object", "svg", "figure", "video", "audio", "canvas", "header", "fieldset", "label", "datalist", "head"}
+DROPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "noscript", "template", "iframe", "object", "svg", "video", "audio", "canvas", "header", "fieldset", "label", "datalist", "head"}
 RAW = ("script", "style", "textarea", "title", "xmp", "noframes")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label"}
 MAIN = {"article", "main"}
 #: Words of class, id and role values that mark page furniture.
 FURNITURE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "banners", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "paywall", "menu", "menus", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "aside", "widget", "widgets", "related", "recommended", "share", "sharing", "social", "comment", "comments", "disqus", "reply", "replies", "respond", "footer", "header", "masthead", "toolbar", "pagination", "pager", "skip", "search", "login", "complementary", "contentinfo"}
+#: Words that say nothing about what a block holds.
+NEUTRAL = {"box", "container", "wrapper", "wrap", "block", "slot", "unit", "area", "section", "list", "bar", "side", "item", "inner", "outer", "top", "bottom", "left", "right", "inline", "content", "body", "main", "page", "site", "global", "primary", "secondary", "post", "article", "text", "links", "link", "buttons", "button", "form", "field", "widget"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|<[a-zA-Z/][^<]*\Z",
@@ -44,11 +52,13 @@ MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 SPACE = re.compile(r"\s+")
 
 
-def _furniture(attrs: str) -> bool:
+def _furniture(attrs: str, inside: bool) -> bool:
+    """Whether class, id or role name furniture; inside the main element only names that consist of such words do."""
     if "=" not in attrs:
         return False
-    found = (a or b or c for a, b, c in MARKED.findall(attrs))
-    return any(w in FURNITURE for v in found for w in re.split(r"[^a-z0-9]+", v.lower()))
+    names = (n for a, b, c in MARKED.findall(attrs) for n in (a or b or c).lower().split())
+    words = ([w for w in re.split(r"[^a-z]+", n) if w] for n in names)
+    return any(any(w in FURNITURE for w in ws) and (not inside or all(w in FURNITURE or w in NEUTRAL for w in ws)) for ws in words)
 
 
 def block_lines(page: str) -> list[tuple[str, bool]]:
@@ -86,14 +96,14 @@ def block_lines(page: str) -> list[tuple[str, bool]]:
         if name in INLINE:
             if name == "br":
                 here.append(" ")
-            if closing or not _furniture(m["attrs"]) or name in VOID:
+            if closing or not _furniture(m["attrs"], inside > 0) or name in VOID:
                 continue
         end_block()
         if closing:
             inside = max(0, inside - (name in MAIN))
         elif name in MAIN:
             inside += 1
-        elif name not in VOID and (name in DROPPED and not (name == "header" and inside) or name not in ("body", "html") and _furniture(m["attrs"])):
+        elif name not in VOID and (name in DROPPED and not (name == "header" and inside) or name not in ("body", "html") and not (inside and name in HEADINGS) and _furniture(m["attrs"], inside > 0)):
             if not m["attrs"].endswith("/"):
                 gone, depth = name, 1
             lines.extend([("", inside > 0)] * WINDOW)
@@ -117,12 +127,12 @@ def main_text(page: str | None) -> str:
         elif start is not None and not window:
             stretches.append((start, i))
             start = None
-    marked = [s for s in stretches if any(lines[k][1] and size[k] for k in range(*s))]
-    if marked:
-        kept = [k for s in marked for k in range(*s) if lines[k][1]]
-    else:
+    chosen = [s for s in stretches if any(lines[k][1] and size[k] for k in range(*s))]
+    within = bool(chosen)
+    if not within:
         longest = max((sum(size[a:b]) for a, b in stretches), default=0)
-        kept = [k for a, b in stretches if sum(size[a:b]) >= SHARE * longest for k in range(a, b)]
+        chosen = [s for s in stretches if sum(size[slice(*s)]) >= SHARE * longest]
+    kept = [k for k in range(chosen[0][0], chosen[-1][1]) if lines[k][1] or not within] if chosen else []
     return "\n\n".join(lines[k][0] for k in kept if size[k])
 
 
