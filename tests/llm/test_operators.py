@@ -6,10 +6,12 @@ import itertools
 import math
 import re
 
+import hypothesis
 import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -62,19 +64,15 @@ def test_chat_round_trip(spark):
     assert got == {c: (len(ts), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in sorted(ts)).encode()).hexdigest(), sum(len(x) for _, r, x in ts if r == "assistant")) for c, ts in want.items()}
     packed = chat.pack(chat.conversations(df)).filter("tokens like '%hi%'").count()
     assert packed <= 2 * 4
-    for s in ("</s>", "\\</s>", "\\\\[INST]\\", "<|im_end|>"):
-        assert chat.unescape(chat.escape(s)) == s
-        assert not re.search(r"(?<!\\)" + re.escape("</s>"), chat.escape(s))
+    for t in (*chat.CONTROL, "\\</s>", "\\\\[INST]\\", "<\\/s>", "<\\\\|im_end|>", "<<</s></s>>", "[[INST][/INST]]", "<<SYS>><</SYS>>"):
+        for text in (t, f"a{t}b", t + t, t[:-1], t.replace("<", "<\\")):
+            assert chat.unescape(chat.escape(text)) == text
+            assert not any(c in chat.escape(text) for c in chat.CONTROL)
 
 
-def test_pii(odd):
-    rows = {r["doc_id"]: r for r in pii.replace(odd, "k").collect()}
-    text = rows[8]["text"]
-    assert [e["kind"] for e in rows[8]["entities"]] == ["name", "name", "email", "email", "phone"]
-    assert text.startswith("Mr. ") and "Smith" not in text and "example" not in text.split(";")[1].split("@")[1][:8]
-    mails = re.findall(r"\S+@[^\s,]+", text)
-    assert mails[0] == mails[1].lower() and re.search(r"\+\d \(\d{3}\) \d{3}-\d{4}", text)
-    assert rows[0]["text"] is None and pii.replace(odd.limit(0), "k").count() == 0
+@hypothesis.given(st.lists(st.sampled_from([*"<>|/[]\\sINT", "</s>", "<|im_end|>", "[INST]"]), max_size=40).map("".join))
+def test_escape_is_reversible(text):
+    assert chat.unescape(chat.escape(text)) == text and not any(c in chat.escape(text) for c in chat.CONTROL)
 
 
 def test_pieces_match_the_model(spark, odd):
@@ -112,6 +110,19 @@ def test_html():
     page = '<nav>menu</nav><div class="ad">buy</div><article><h1>T &amp; t</h1><p>one<br>two <b>x</b><p>three<script>var a="</p>"</script></article><div id="comments"><p>nice</p></div><footer>f</footer>'
     assert html_main.main_text(page) == "T & t\n\none two x\n\nthree"
     assert html_main.main_text(None) == "" and html_main.main_text("<nav>never closed <p>x") == ""
+    own = '<article><h2 class="search-results">Title</h2><div class="related-work"><p>body para</p></div><figure><img><figcaption>a caption</figcaption></figure><div class="ad-box">buy</div><div class="share">x</div><p>end</article>'
+    assert html_main.main_text(own) == "Title\n\nbody para\n\na caption\n\nend"
+    plain = "<body><div>" + "<p>" + "long text " * 30 + '</p><div class="ads">buy</div><p>short</p><div class="ads">buy</div><p>' + "more text " * 30 + "</p></div><footer>foot</footer></body>"
+    assert html_main.main_text(plain).split("\n\n")[1] == "short" and "buy" not in html_main.main_text(plain) and "foot" not in html_main.main_text(plain)
+    assert len(html_main.main_text("<p>" + "word " * 1_000_000)) == 4_999_999
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, "u", "<article>a</article>", "old", 5), (1, "u", "<article>a</article>", "old", 5), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int").withColumn("row", F.lit("x"))
+    got = html_main.extract(df)
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"], r["row"]) for r in got.collect()) == [(0, "", 0, "x"), (1, "a", 1, "x"), (1, "a", 1, "x")]
+    assert html_main.extract(df.limit(0)).count() == 0
 
 
 def test_decontamination(spark):
