@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import reporting, retrieval
-from quarry.plans import catalogue, workflows  # noqa: F401  workflows adds its queries to the catalogue
+from quarry.plans import argument_queries, candidate_queries, catalogue, evidence_build, family_queries, knowledge_queries, lookup_queries, measure_queries, workflows  # noqa: F401  these add their queries to the catalogue
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
