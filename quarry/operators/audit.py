@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import comparable
 
-REVIEW = ["plan_conflict_kept_base", "plan_conflict_fused_diff", "plan_arg_missing_in_fused", "workflow_changed_without_plan", "plan_not_applied"]
-
+# Statuses that need a review, and those that are settled.
+REVIEW = ["node_missing_in_base", "node_missing_in_fused", "plan_conflict_kept_base", "plan_conflict_fused_diff", "plan_arg_missing_in_fused", "workflow_changed_without_plan", "plan_not_applied"]
 SETTLED = ["confirmed_by_plan", "base_only_unchanged", "filled_from_plan", "appended_from_plan", "overwritten_from_plan"]
 
 
@@ -30,13 +30,21 @@ def audit_status(plan: Column, base: Column, fused: Column, required: Column) ->
 
 def audit(plan: DataFrame, base: DataFrame, fused: DataFrame, contracts: DataFrame) -> DataFrame:
     """node, arg, the three values, required and status; each input has node, arg and value (contracts: node, arg)."""
-    side = lambda d, c: d.select("node", "arg", F.col("value").alias(c))
+    side = lambda d, c: d.select("node", "arg", F.trim("value").alias(c))
     joined = side(plan, "plan_value").join(side(base, "base_value"), ["node", "arg"], "full").join(side(fused, "fused_value"), ["node", "arg"], "full")
     joined = joined.join(contracts.select("node", "arg", F.lit(True).alias("required")), ["node", "arg"], "left").fillna({"required": False})
     out = joined.withColumn("status", audit_status(F.col("plan_value"), F.col("base_value"), F.col("fused_value"), F.col("required")))
     return out.withColumn("needs_review", F.col("status").isin(REVIEW))
 
 
+def missing_nodes(plan: DataFrame, base: DataFrame, fused: DataFrame) -> DataFrame:
+    """(node, arg ``*``, status) of planned nodes that the fused workflow, or else the base one, does not have; all need a review."""
+    side = lambda d, c: d.select("node").distinct().withColumn(c, F.lit(True))
+    joined = plan.select("node").distinct().join(side(base, "in_base"), "node", "left").join(side(fused, "in_fused"), "node", "left")
+    status = F.when(F.col("in_fused").isNull(), F.lit("node_missing_in_fused")).when(F.col("in_base").isNull(), F.lit("node_missing_in_base"))
+    return joined.select("node", F.lit("*").alias("arg"), status.alias("status")).filter("status is not null").withColumn("needs_review", F.col("status").isin(REVIEW))
+
+
 def resolve(audited: DataFrame, classes: DataFrame, contract: DataFrame) -> DataFrame:
     """Adds class, allowed, action, confidence and requires_review to (node, arg, status).
 

@@ -10,6 +10,8 @@ from quarry.functions.text import tokens
 # Prefixes of control unit names, and titles of pages that carry no evidence.
 UNIT_PREFIXES = ["ADCU", "ASDM", "BCM", "CMD", "CMP", "ECM", "FAH", "HCML", "HCMR", "TCAM", "WPC", "ZCUD"]
 NOISE_TITLES = ["revision history", "requirement log"]
+# Fixed value: words of unit names.
+WORD = "0x[0-9a-fA-F]+|[A-Za-z]+[A-Za-z0-9-]*|[0-9a-fA-F]{2,8}"
 UNIT = r"(?i)\b((?:" + "|".join(UNIT_PREFIXES) + r")[A-Z0-9-]*)\b"
 DEMOTION = 20.0
 
@@ -26,9 +28,13 @@ def units_named(title: Column, content: Column) -> Column:
 
 
 def compatible(unit: Column, target: Column) -> Column:
-    """Equal to the target, beginning with it, or holding it as a token without letters; an empty side is never compatible."""
+    """Equal to the target, beginning with it, or holding it as a token without letters; an empty side is never compatible.
+
+    Hyphens belong to words here, so the number of ``BCM-12`` is no token of its own.
+    """
     u, t = F.upper(F.coalesce(unit, F.lit(""))), F.upper(F.coalesce(target, F.lit("")))
-    return (u != "") & (t != "") & (F.startswith(u, t) | F.array_contains(tokens(u), t))
+    words = F.transform(F.regexp_extract_all(u, F.lit(WORD), F.lit(0)), lambda w: F.regexp_replace(F.lower(w), "^0x", ""))
+    return (u != "") & (t != "") & (F.startswith(u, t) | F.array_contains(words, t))
 
 
 def noise(title: Column, content: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators import audit
 from quarry.operators import families as FM
 from quarry.plans.catalogue import _t, _values, query
 
@@ -94,3 +95,10 @@ SELECT node, CASE WHEN status = 'node_missing_in_fused' THEN 'error' ELSE 'warni
 FROM i WHERE status IN ('node_missing_in_base', 'node_missing_in_fused') OR requires_review""")
 def audit_issues(spark, d):
     return FM.audit_issues(_t(spark, d, "orders").selectExpr("o_orderkey AS node", f"{_ST} AS status", "concat('a', o_custkey % 9) AS arg", "o_orderkey % 3 = 0 AS requires_review"))
+
+
+@query("""WITH n AS (SELECT DISTINCT o_custkey AS node FROM orders), b AS (SELECT DISTINCT c_custkey AS node FROM customer WHERE c_custkey % 3 > 0), f AS (SELECT DISTINCT c_custkey AS node FROM customer WHERE c_custkey % 5 > 0)
+SELECT node, '*' AS arg, CASE WHEN node NOT IN (SELECT node FROM f) THEN 'node_missing_in_fused' ELSE 'node_missing_in_base' END AS status, true AS needs_review FROM n WHERE node NOT IN (SELECT node FROM f) OR node NOT IN (SELECT node FROM b)""")
+def missing_workflow_nodes(spark, d):
+    nodes = lambda c: _t(spark, d, "customer").filter(c).selectExpr("c_custkey AS node")
+    return audit.missing_nodes(_t(spark, d, "orders").selectExpr("o_custkey AS node"), nodes("c_custkey % 3 > 0"), nodes("c_custkey % 5 > 0"))

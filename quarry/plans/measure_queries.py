@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import measures as M
 from quarry.plans.catalogue import _t, query
+from quarry.sources import readers
 
 # Line items as requests: durations, first tokens and token counts follow from quantity and keys.
 _REQ = {
@@ -147,3 +148,12 @@ _PATHS = "SELECT l_suppkey AS node, 'p' || (l_partkey % 15) AS path, l_orderkey
 SELECT node, CAST(sum(n) AS BIGINT) AS original_paths, count_if(rank <= 6) AS kept_paths, string_agg(path, ' | ' ORDER BY rank) FILTER (rank <= 6) AS paths FROM r GROUP BY node""")
 def budgeted_graph_paths(spark, d):
     return M.budgeted_paths(_t(spark, d, "lineitem").selectExpr("l_suppkey AS node", "concat('p', l_partkey % 15) AS path", "l_orderkey * 10 + l_linenumber AS ord"), 6)
+
+
+_LINE = "concat(CASE event_id % 7 WHEN 0 THEN '# HELP ' ELSE '' END, 'app_', event_type, CASE event_id % 5 WHEN 0 THEN '_bucket' ELSE '' END, CASE event_id % 3 WHEN 0 THEN concat('{le=\"', user_id, '\"}') WHEN 1 THEN concat('{user=\"', repeat('u', cast(user_id % 200 AS int)), '\"}') ELSE '' END, ' ', user_id, '.5')"
+
+
+@query("""WITH e AS (SELECT 'app_' || event_type AS name, user_id + 0.5e0 AS n, user_id % 200 AS len, event_id FROM events WHERE event_id % 7 > 0 AND event_id % 5 > 0 AND event_id % 3 > 0)
+SELECT name, round(sum(n), 6) AS value FROM e WHERE event_id % 3 = 2 OR len <= 120 GROUP BY name""")
+def metric_lines(spark, d):
+    return readers.parse_prometheus(_t(spark, d, "events").select(F.expr(_LINE).alias("value")))

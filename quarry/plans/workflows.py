@@ -18,7 +18,7 @@ _CAND = {
     "score": "CAST(doc_id % 40 AS DOUBLE)",
 }
 _PLAIN = "regexp_replace(coalesce(content, ''), '<[^>]+>', ' ', 'g')"
-_OK = "(u <> '' AND t <> '' AND (starts_with(u, t) OR list_contains({tok}, t)))".format(tok=_tok("u"))
+_OK = "(u <> '' AND t <> '' AND (starts_with(u, t) OR list_contains({tok}, t)))".format(tok=f"list_transform(regexp_extract_all(u, '{evidence.WORD}'), lambda w: regexp_replace(lower(w), '^0x', ''))")
 
 
 @query(f"""WITH c AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _CAND.items())} FROM documents),

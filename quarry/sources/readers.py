@@ -28,13 +28,20 @@ def read_script_nodes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("source_path", F.posexplode(F.arrays_zip(names.alias("name"), classes.alias("class_name"))).alias("node_ord", "z")).select("source_path", "node_ord", "z.name", "z.class_name")
 
 
+# Fixed value: the grammar of a line of the text exposition format.
+METRIC_LINE = r"^\s*([a-zA-Z_:][a-zA-Z0-9_:]*)(\{[^}]*\})?\s+([-+0-9.eE]+|NaN|[-+]?Inf)"
+#: Longest label value that counts.
+LABEL = 120
+
+
 def parse_prometheus(lines: DataFrame) -> DataFrame:
-    """name and summed value from exposition text (column value); buckets and very long label sets are dropped."""
-    pattern = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(\{[^}]*\})?\s+([-+0-9.eE]+|NaN|[-+]?Inf)"
-    part = lambda g: F.regexp_extract("value", pattern, g)
-    rows = lines.filter(~F.col("value").startswith("#")).select(part(1).alias("name"), part(2).alias("labels"), F.try_to_number(part(3), F.lit("S999999999999999999.999999999")).cast("double").alias("n"), part(3).alias("raw"))
-    kept = rows.filter((F.col("name") != "") & ~F.endswith("name", F.lit("_bucket")) & ~F.contains("labels", F.lit("le=")) & (F.length("labels") <= 120))
-    return kept.groupBy("name").agg(F.sum(F.coalesce("n", F.col("raw").try_cast("double"))).alias("value"))
+    """name and summed value from exposition text (column value); buckets and lines with a very long label value are dropped."""
+    part = lambda g: F.regexp_extract("value", METRIC_LINE, g)
+    number = F.when(part(3).rlike("Inf$"), F.regexp_replace(part(3), "Inf$", "Infinity")).otherwise(part(3)).try_cast("double")
+    rows = lines.filter(~F.col("value").rlike(r"^\s*#")).select(part(1).alias("name"), part(2).alias("labels"), number.alias("n"))
+    long = F.exists(F.regexp_extract_all("labels", F.lit(r'="([^"]*)"'), F.lit(1)), lambda v: F.length(v) > LABEL)
+    kept = rows.filter((F.col("name") != "") & F.col("n").isNotNull() & ~F.endswith("name", F.lit("_bucket")) & ~F.contains("labels", F.lit("le=")) & ~long)
+    return kept.groupBy("name").agg(F.round(F.sum("n"), 6).alias("value"))
 
 
 def manifest(df: DataFrame, content: str) -> DataFrame:
