@@ -10,8 +10,8 @@ triangle inequality cannot rule out for its small band radius, which near shard
 leaf, homes are compared with queries over all 64 bits, so every link is exact and none is lost. Only the shape of the
 trees (vantage values, radii) is fitted, on at most ``SAMPLE`` fingerprints; all fingerprints are indexed and queried.
 
-A leaf with many homes is cut into parts of ``PART`` homes that meet all its queries separately, links inside a part
-are reduced to stars at once (never all pairs of a group), and stars are joined into components by alternating
+A crowded leaf is cut on both sides, into parts of about ``PART`` homes and ``PART`` queries each; every part of the one
+meets every part of the other in a group of its own, so no group outgrows a task. Links inside a group are reduced to stars at once (never all pairs of a group), and stars are joined into components by alternating
 large-star and small-star steps, each written to the shared folder.
 
 Defined results: null text is an empty one; equal fingerprints are one node, so any number of copies costs one row;
@@ -34,6 +34,8 @@ SHINGLE, SEED, MAX_BITS = 4, 42, 4
 BANDS, SAMPLE, LEAF, PART, MAX_DEPTH = 3, 20_000, 1_000, 8_192, 12
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
+#: Roles of a fingerprint in a group of homes and queries.
+HOME, ASKS = 1, 2
 
 
 def fingerprint(text: str | None) -> int:
@@ -163,13 +165,13 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(key, table):
-    """Links between the homes and the queries of one part of a leaf, as stars."""
+    """Links between the homes and the queries of one group, as stars."""
     fp = table.column("fp").to_numpy().view(U)
-    home = table.column("home").to_numpy(zero_copy_only=False)
-    kept = fp[home]
+    role = table.column("role").to_numpy()
+    kept, asked = fp[role & HOME > 0], fp[role & ASKS > 0]
     us, vs, held = [], [], 0
-    for i in range(0, len(fp), 256):
-        ask = fp[i : i + 256]
+    for i in range(0, len(asked), 256):
+        ask = asked[i : i + 256]
         x = ask[:, None] ^ kept[None, :]
         r, c = np.nonzero((np.bitwise_count(x) <= MAX_BITS) & (x != 0))
         if len(r):
@@ -189,14 +191,21 @@ def _links(key, table):
 def near_links(nodes: DataFrame) -> DataFrame:
     """Star edges (u, v) that connect exactly the fingerprints linked within ``MAX_BITS``."""
     placed = materialized(shards(nodes, forest(nodes)), "vp-shards")
-    crowd = placed.filter("home").groupBy("leaf").count().filter(F.col("count") > PART)
+    parts = lambda n: F.ceil(n / PART).cast("int")
+    crowd = placed.groupBy("leaf").agg(F.count_if("home").alias("n_home"), F.count("*").alias("n_ask")).filter(F.greatest("n_home", "n_ask") > PART)
     #: One row per overfull leaf, of which there are at most the trees' leaves (BANDS * 2 ** MAX_DEPTH).
-    parts = F.broadcast(crowd.select("leaf", F.ceil(F.col("count") / PART).cast("int").alias("n")))
-    cut = placed.join(parts, "leaf", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-    spread = cut.withColumn("part", F.explode(F.when(F.col("home") | (F.col("n") > 0), F.sequence(F.lit(0), F.col("n") - 1))))
-    spread = spread.withColumn("home", F.col("home") & (F.col("part") == own))
-    return spread.select("leaf", "part", "fp", "home").groupBy("leaf", "part").applyInArrow(_links, "u long, v long").distinct()
+    cut = placed.join(F.broadcast(crowd.select("leaf", parts(F.col("n_home")).alias("h"), parts(F.col("n_ask")).alias("q"))), "leaf", "left")
+    h, q = F.greatest(F.coalesce("h", F.lit(1)), F.lit(1)), F.coalesce("q", F.lit(1))
+    own = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), n).cast("int")
+    group = lambda a, b, role: F.struct(a.cast("int").alias("home_part"), b.cast("int").alias("ask_part"), F.lit(role).alias("role"))
+    # A home stands in its part against all parts of queries, a query in its own against all parts of homes.
+    both = F.array(group(F.lit(0), F.lit(0), HOME | ASKS))
+    asks = F.transform(F.sequence(F.lit(0), h - 1), lambda i: group(i, own(q, 1), ASKS))
+    homes = F.transform(F.sequence(F.lit(0), q - 1), lambda i: group(own(h, 0), i, HOME))
+    none = F.array().cast("array<struct<home_part:int,ask_part:int,role:int>>")
+    dealt = F.when((h == 1) & (q == 1), F.when(F.col("home"), both).otherwise(asks)).otherwise(F.concat(asks, F.when(F.col("home"), homes).otherwise(none)))
+    spread = cut.select("leaf", "fp", F.inline(dealt))
+    return spread.groupBy("leaf", "home_part", "ask_part").applyInArrow(_links, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

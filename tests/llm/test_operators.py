@@ -93,7 +93,9 @@ def test_unigram_lattice(spark):
     assert got == {u: s.unit(u) for u in units} and got["abc"] == (3, 5)
 
 
-def test_simhash_components(spark, odd):
+@pytest.mark.parametrize("part", [8_192, 16])
+def test_simhash_components(spark, odd, monkeypatch, part):
+    monkeypatch.setattr(simhash_vp, "PART", part)
     docs = odd.select("doc_id", "text").filter("doc_id is not null").distinct().unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100 as doc_id", "text"))
     rows = sorted((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in simhash_vp.near_duplicates(docs).collect())
     fps = np.array([f for _, f, _ in rows], np.uint64)
