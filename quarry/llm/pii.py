@@ -139,10 +139,10 @@ def _surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Colum
     tld = F.substring_index(domain, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld))
     no = F.lit(False)
-    wider = F.array_join(F.transform(F.slice(F.sequence(F.lit(0), F.lit(64)), 1, F.least(F.greatest(attempt - 8, F.lit(0)), F.lit(64))), lambda i: F.substring(F.lit(LETTERS["latin"]), _draw(seed, i + 70, 26) + 1, F.lit(1))), "")
+    wider = F.array_join(F.transform(F.slice(F.sequence(F.lit(0), F.lit(64)), 1, F.least(F.greatest(attempt - 3, F.lit(0)), F.lit(64))), lambda i: F.substring(F.lit(LETTERS["latin"]), _draw(seed, i + 70, 26) + 1, F.lit(1))), "")
     email = F.concat(_each(local, lambda c, i: _like(c, lambda n: _draw(seed, i, n), no)), wider, F.lit("@"), _each(host, lambda c, i: _like(c, lambda n: _draw(place, i, n), no)), tld)
     any_octet = lambda i: (_draw(seed, i, 254) + 1).cast("string")
-    octet = lambda o, i: F.when(attempt >= 6, any_octet(i)).when(F.length(o) == 1, _draw(seed, i, 9) + 1).when(F.length(o) == 2, _draw(seed, i, 90) + 10).otherwise(_draw(seed, i, 155) + 100).cast("string")
+    octet = lambda o, i: F.when(attempt >= 4, any_octet(i)).when(F.length(o) == 1, _draw(seed, i, 9) + 1).when(F.length(o) == 2, _draw(seed, i, 90) + 10).otherwise(_draw(seed, i, 155) + 100).cast("string")
     ip = F.array_join(F.transform(F.split(normal, r"\."), octet), ".")
     # Cards keep their first digit and phones too (long ones, which hold a country code, two); cards that pass the Luhn
     # test get a last digit that passes it.
