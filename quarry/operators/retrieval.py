@@ -30,14 +30,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, filters: Column | None = N
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     terms = asked.select("term").distinct()
     sized = pool.select("doc_id", tokens(F.col("text")).alias("ts"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avg_len")).first()
-    n, avg_len = stats["n"], max(stats["avg_len"] or 0.0, 1.0)
+    # One row, joined to the matching postings: the statistics are part of the plan.
+    stats = F.broadcast(sized.agg(F.count("*").alias("n"), F.greatest(F.avg(F.size("ts")), F.lit(1.0)).alias("avg_len")))
     postings = sized.select("doc_id", F.greatest(F.size("ts"), F.lit(1)).alias("len"), F.explode("ts").alias("term")).join(terms, "term", "left_semi")
     tf = postings.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len)))
-    scored = tf.join(df, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part * F.col("qtf")).alias("score"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    scored = tf.join(df, "term").join(asked, "term").join(stats, F.lit(True)).groupBy("query_id", "doc_id").agg(F.sum(part * F.col("qtf")).alias("score"))
     if phrase_boost:
         #: The queries are a batch of bounded size; every document meets each phrase once.
         phrases = queries.select("query_id", normalised(F.col("query")).alias("phrase")).filter("phrase <> ''")
@@ -50,28 +50,42 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarity(a: Column, b: Column, metric: str) -> Column:
-    """COSINE (0 for a zero vector), IP, or L2 as 1 / (1 + distance), to six decimals."""
+def similarity(a: Column, b: Column, metric: str, norms: tuple[Column, Column] | None = None) -> Column:
+    """COSINE (0 for a zero vector), IP, or L2 as 1 / (1 + distance), to six decimals; ``norms`` are the vectors' lengths if known."""
     if metric == "L2":
         gap = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
         return F.round(1 / (1 + F.sqrt(gap)), 6)
     if metric == "IP":
         return F.round(dot(a, b), 6)
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.round(F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms), 6)
+    left, right = norms or (F.sqrt(dot(a, a)), F.sqrt(dot(b, b)))
+    return F.round(F.when(left * right == 0, 0.0).otherwise(dot(a, b) / (left * right)), 6)
+
+
+#: Bytes of query vectors that are sent to every task at once.
+QUERY_BLOCK = 32 << 20
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", filters: Column | None = None, source: str | None = None) -> DataFrame:
     """Exact top k per query: filters first, then (score down, id up), the first of each ``source``, then the cut.
 
-    ``vectors`` has vec_id and embedding, ``queries`` query_id and q (a batch of bounded size, joined to every vector).
+    ``vectors`` has vec_id and embedding, ``queries`` query_id and q. Vectors stay where they are; queries are broadcast in
+    blocks of at most ``QUERY_BLOCK`` bytes (counted, not assumed), and each block's best rows are cut before a shuffle.
     """
-    pool = vectors.filter(filters) if filters is not None else vectors
-    scored = pool.join(queries, F.size("embedding") == F.size("q")).withColumn("score", similarity(F.col("embedding"), F.col("q"), metric))
-    if source:
-        first = Window.partitionBy("query_id", source).orderBy(F.col("score").desc(), F.col("vec_id"))
-        scored = scored.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
-    return top_k(scored, k, id_col="vec_id").select("query_id", "rank", "vec_id", *([source] if source else []), "score")
+    pool = (vectors.filter(filters) if filters is not None else vectors).withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
+    size = queries.agg(F.coalesce(F.sum(F.size("q") * 8 + 64), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-size // QUERY_BLOCK))
+    asked = queries.withColumn("q_norm", F.sqrt(dot(F.col("q"), F.col("q"))))
+    found = None
+    for i in range(n_blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i) if n_blocks > 1 else asked
+        met = pool.join(F.broadcast(block), F.size("embedding") == F.size("q"))
+        scored = met.withColumn("score", similarity(F.col("embedding"), F.col("q"), metric, (F.col("norm"), F.col("q_norm"))))
+        if source:
+            first = Window.partitionBy("query_id", source).orderBy(F.col("score").desc(), F.col("vec_id"))
+            scored = scored.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
+        best = top_k(scored, k, id_col="vec_id").select("query_id", "rank", "vec_id", *([source] if source else []), "score")
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def min_max(score: str, by: str) -> Column:
@@ -109,3 +123,19 @@ def recall_mrr(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
         F.count("*").alias("queries"), F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6).alias("recall_at_k"),
         F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
     )
+
+
+def recall_by_label(ranked: DataFrame, queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """The same where a row is relevant that shares the query's label: only ranked rows are looked up, never pairs of a label.
+
+    ``ranked`` has query_id, rank and doc_id, ``queries`` query_id, ``labels`` doc_id and label. Queries whose label no other
+    row has do not count.
+    """
+    shared = labels.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
+    asked = queries.join(labels.select(F.col("doc_id").alias("query_id"), "label"), "query_id").join(shared.select("label"), "label", "left_semi")
+    hit = ranked.filter("query_id <> doc_id").join(labels.select("doc_id", F.col("label").alias("of_doc")), "doc_id").join(asked, "query_id").filter(F.col("label") == F.col("of_doc"))
+    first = asked.select("query_id").join(hit.groupBy("query_id").agg(F.min("rank").alias("first")), "query_id", "left")
+    return first.agg(
+        F.count("*").alias("queries"), F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6).alias("recall_at_k"),
+        F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
+    )

@@ -191,8 +191,7 @@ def recall_mrr_at_k(spark, d):
     v = _t(spark, d, "embeddings")
     asked = v.filter("vec_id % 50 = 0")
     ranked = retrieval.vector_search(v, asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 20).withColumnRenamed("vec_id", "doc_id")
-    relevant = asked.select(F.col("vec_id").alias("query_id"), "label").join(v.select(F.col("vec_id").alias("doc_id"), "label"), "label").filter("query_id <> doc_id").select("query_id", "doc_id")
-    return retrieval.recall_mrr(ranked, relevant, 8)
+    return retrieval.recall_by_label(ranked, asked.select(F.col("vec_id").alias("query_id")), v.select(F.col("vec_id").alias("doc_id"), "label"), 8)
 
 
 @query("""SELECT page_id, position, text FROM (
