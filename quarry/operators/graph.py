@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
+from quarry.operators.lookups import title_images
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -31,27 +32,33 @@ def same_as(nodes: DataFrame) -> DataFrame:
     return keyed.join(least, "key").filter("node_id <> canonical_id").select("node_id", "canonical_id")
 
 
-def paths(edges: DataFrame, starts: DataFrame, max_depth: int, max_paths: int) -> DataFrame:
-    """start, depth, path: simple paths breadth first, at most ``max_paths`` per start, by (depth, path)."""
-    step = edges.select(F.col("source").alias("_at"), F.col("target").alias("_to")).distinct()
-    level = starts.select(F.col("node").alias("start"), F.col("node").alias("_at"), F.array("node").alias("nodes"))
+def paths(edges: DataFrame, starts: DataFrame, max_depth: int, max_paths: int, relations: list[str] | None = None, target: str | None = None) -> DataFrame:
+    """start, depth, path: simple paths breadth first, at most ``max_paths`` per start, by (depth, path).
+
+    ``relations`` takes edges of these relations only; ``target`` returns paths that end there. Paths of a level come before
+    all longer ones, so a start that has its ``max_paths`` is not followed further: without a target no start carries more
+    than ``max_paths`` paths into the next level.
+    """
+    used = edges.filter(F.col("relation").isin(relations)) if relations else edges
+    step = used.select(F.col("source").alias("at"), F.col("target").alias("to")).distinct()
+    level = starts.select(F.col("node").alias("start"), F.col("node").alias("at"), F.array("node").alias("nodes"))
     found = None
     for depth in range(1, max_depth + 1):
-        level = level.join(step, "_at").filter(~F.array_contains("nodes", F.col("_to"))).select("start", F.col("_to").alias("_at"), F.concat("nodes", F.array("_to")).alias("nodes"))
-        # Shorter paths come first, so of each level no more than max_paths can ever be returned or kept.
-        here = level.select("start", F.lit(depth).alias("depth"), F.array_join("nodes", " > ").alias("path"))
+        level = level.join(step, "at").filter(~F.array_contains("nodes", F.col("to"))).select("start", F.col("to").alias("at"), F.concat("nodes", F.array("to")).alias("nodes"))
+        ends = level if target is None else level.filter(F.col("at") == target)
+        here = ends.select("start", F.lit(depth).alias("depth"), F.array_join("nodes", " > ").alias("path"))
         found = here if found is None else found.unionByName(here)
+        if depth < max_depth:
+            done = found.groupBy("start").count().filter(F.col("count") >= max_paths).select("start")
+            level = level.join(done, "start", "left_anti")
     w = Window.partitionBy("start").orderBy("depth", "path")
-    return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_paths).drop("_r")
+    return found.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= max_paths).drop("nth")
 
 
 def resolve_by_tokens(references: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
-    """ref_id, target_id, score: share of the reference's distinct tokens in the target, by token equi-join."""
-    cut = lambda d, i, c: d.select(i, F.explode(F.array_distinct(tokens(F.col(c)))).alias("token"))
-    size = references.select("ref_id", F.size(F.array_distinct(tokens(F.col("reference")))).alias("size"))
-    shared = cut(references, "ref_id", "reference").join(cut(targets, "target_id", "title"), "token").groupBy("ref_id", "target_id").agg(F.count("*").alias("shared"))
-    scored = shared.join(size, "ref_id").select("ref_id", "target_id", F.round(F.col("shared") / F.col("size"), 6).alias("score"))
-    return scored.filter(F.col("score") >= threshold)
+    """ref_id, target_id, score: share of the reference's distinct tokens in the target, candidates by the rarest tokens only."""
+    found = title_images(references.select(F.col("ref_id").alias("title_id"), F.col("reference").alias("title")), targets.select(F.col("target_id").alias("image_id"), F.col("title").alias("name")), threshold)
+    return found.select(F.col("title_id").alias("ref_id"), F.col("image_id").alias("target_id"), F.col("overlap").alias("score"))
 
 
 def expand(edges: DataFrame, starts: DataFrame, max_depth: int, per_hop: int) -> DataFrame:

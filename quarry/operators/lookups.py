@@ -96,7 +96,7 @@ def title_images(titles: DataFrame, images: DataFrame, threshold: float = 0.5) -
     ranked = own.join(often, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rank, size = Window.partitionBy("title_id").orderBy("n", "token"), Window.partitionBy("title_id")
     ranked = ranked.withColumn("rank", F.row_number().over(rank)).withColumn("size", F.count("*").over(size))
-    rare = ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1).select("title_id", "token")
+    rare = ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("title_id", "token")
     pairs = rare.join(other, "token").select("title_id", "image_id").distinct()
     sets = lambda d, i, c, n: d.select(i, F.array_distinct(tokens(F.col(c))).alias(n))
     met = pairs.join(sets(titles, "title_id", "title", "a"), "title_id").join(sets(images, "image_id", "name", "b"), "image_id")
