@@ -29,7 +29,7 @@ def read_script_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 # Fixed value: the grammar of a line of the text exposition format.
-METRIC_LINE = r"^\s*([a-zA-Z_:][a-zA-Z0-9_:]*)(\{[^}]*\})?\s+([-+0-9.eE]+|NaN|[-+]?Inf)"
+METRIC_LINE = r"^\s*([a-zA-Z_:][a-zA-Z0-9_:]*)(\{[^}]*\})?\s+([-+]?Inf|NaN|[-+0-9.eE]+)"
 #: Longest label value that counts.
 LABEL = 120
 
