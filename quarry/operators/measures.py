@@ -162,7 +162,7 @@ def latest_routes(decisions: DataFrame, by: str, n: int = 256) -> DataFrame:
 def budgeted_paths(paths: DataFrame, limit: int) -> DataFrame:
     """Distinct graph paths of each node in order of first mention, at most ``limit`` (a prompt's budget), with counts before and after."""
     first = paths.groupBy("node", "path").agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
-    w = Window.partitionBy("node").orderBy("ord")
+    w = Window.partitionBy("node").orderBy("ord", "path")
     kept = first.withColumn("rank", F.row_number().over(w))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= limit, F.struct("rank", "path")))), lambda x: x["path"]), " | ")
     return kept.groupBy("node").agg(F.sum("n").alias("original_paths"), F.count_if(F.col("rank") <= limit).alias("kept_paths"), joined.alias("paths"))

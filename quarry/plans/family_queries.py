@@ -20,9 +20,9 @@ def family_signatures(spark, d):
     return FM.merged_items(_sig(spark, d))
 
 
-@query("SELECT 'F' || (l_suppkey % 20) AS family, 'tag' || (l_partkey % 9) AS name, max(l_quantity) AS n, arg_max(l_returnflag, l_orderkey * 10 + l_linenumber) AS type FROM lineitem GROUP BY 1, 2")
+@query("SELECT 'F' || (l_suppkey % 20) AS family, 'tag' || (l_partkey % 9) AS name, max(l_quantity) AS n, arg_max(l_returnflag, l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey) AS type FROM lineitem GROUP BY 1, 2")
 def family_tag_counts(spark, d):
-    return FM.merged_counts(_t(spark, d, "lineitem").selectExpr("concat('F', l_suppkey % 20) AS family", "concat('tag', l_partkey % 9) AS name", "l_quantity AS n", "l_returnflag AS type", "l_orderkey * 10 + l_linenumber AS source"))
+    return FM.merged_counts(_t(spark, d, "lineitem").selectExpr("concat('F', l_suppkey % 20) AS family", "concat('tag', l_partkey % 9) AS name", "l_quantity AS n", "l_returnflag AS type", "l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS source"))
 
 
 @query("""WITH t AS (SELECT CAST(o_custkey AS VARCHAR) AS template_id, CASE WHEN o_orderkey % 6 > 0 THEN o_orderpriority END AS class_name, CASE WHEN o_orderkey % 4 > 0 THEN 'n' || (o_orderkey % 25) ELSE '' END AS node_name, o_orderkey AS ord FROM orders),

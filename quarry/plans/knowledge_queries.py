@@ -89,9 +89,9 @@ def rendered_paths(spark, d):
     return g.select("l_orderkey", K.rendered(nodes, F.array(F.lit("has"), F.lit("of"))).alias("path"))
 
 
-@query("""WITH c AS (SELECT l_suppkey AS node, l_orderkey * 10 + l_linenumber AS evidence_id, l_partkey % 20 AS role_id FROM lineitem), p AS (SELECT s_suppkey AS node, 'p' || s_suppkey AS path, unnest(list_distinct([s_suppkey % 20, s_nationkey % 20, 3])) AS role_id FROM supplier)
+@query("""WITH c AS (SELECT l_suppkey AS node, l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS evidence_id, l_partkey % 20 AS role_id FROM lineitem), p AS (SELECT s_suppkey AS node, 'p' || s_suppkey AS path, unnest(list_distinct([s_suppkey % 20, s_nationkey % 20, 3])) AS role_id FROM supplier)
 SELECT node, evidence_id, path FROM c JOIN p USING (node, role_id)""")
 def candidate_path_links(spark, d):
-    c = _t(spark, d, "lineitem").selectExpr("l_suppkey AS node", "l_orderkey * 10 + l_linenumber AS evidence_id", "l_partkey % 20 AS role_id")
+    c = _t(spark, d, "lineitem").selectExpr("l_suppkey AS node", "l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS evidence_id", "l_partkey % 20 AS role_id")
     p = _t(spark, d, "supplier").selectExpr("s_suppkey AS node", "concat('p', s_suppkey) AS path", "array(s_suppkey % 20, cast(s_nationkey % 20 AS bigint), 3L) AS nodes")
     return K.mentioned_paths(c, p)

@@ -101,19 +101,19 @@ def title_image_links(spark, d):
     return lookups.title_images(titles, images)
 
 
-_RESULTS = "SELECT l_suppkey % 50 AS node, l_partkey % 40 AS evidence_id, CAST(l_quantity AS DOUBLE) AS score, l_orderkey * 10 + l_linenumber AS ord, CASE l_linenumber % 3 WHEN 0 THEN 'anchor' WHEN 1 THEN 'ecu_doc' ELSE 'template' END AS query_type FROM lineitem"
+_RESULTS = "SELECT l_suppkey % 50 AS node, l_partkey % 40 AS evidence_id, CAST(l_quantity AS DOUBLE) AS score, l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS ord, CASE l_linenumber % 3 WHEN 0 THEN 'anchor' WHEN 1 THEN 'ecu_doc' ELSE 'template' END AS query_type FROM lineitem"
 
 
 @query(f"""WITH r AS ({_RESULTS}), t AS (SELECT node, evidence_id, query_type, min(ord) AS o FROM r GROUP BY ALL), q AS (SELECT node, evidence_id, string_agg(query_type, ',' ORDER BY o) AS query_types FROM t GROUP BY ALL)
 SELECT node, evidence_id, max(score) AS score, arg_max(query_type, (score, -ord)) AS query_type, any_value(query_types) AS query_types FROM r JOIN q USING (node, evidence_id) GROUP BY node, evidence_id""")
 def multi_query_best(spark, d):
-    r = _t(spark, d, "lineitem").selectExpr("l_suppkey % 50 AS node", "l_partkey % 40 AS evidence_id", "CAST(l_quantity AS DOUBLE) AS score", "l_orderkey * 10 + l_linenumber AS ord", "CASE l_linenumber % 3 WHEN 0 THEN 'anchor' WHEN 1 THEN 'ecu_doc' ELSE 'template' END AS query_type")
+    r = _t(spark, d, "lineitem").selectExpr("l_suppkey % 50 AS node", "l_partkey % 40 AS evidence_id", "CAST(l_quantity AS DOUBLE) AS score", "l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS ord", "CASE l_linenumber % 3 WHEN 0 THEN 'anchor' WHEN 1 THEN 'ecu_doc' ELSE 'template' END AS query_type")
     return lookups.best_per_evidence(r)
 
 
 @query(f"WITH r AS (SELECT node, evidence_id % 7 AS chunk_id, 'hybrid' AS source, query_type, ord, score FROM ({_RESULTS})) SELECT node, chunk_id, source, query_type, min(ord) AS ord, arg_min(score, ord) AS score FROM r GROUP BY node, chunk_id, source, query_type")
 def trace_results(spark, d):
-    r = _t(spark, d, "lineitem").selectExpr("l_suppkey % 50 AS node", "l_partkey % 40 % 7 AS chunk_id", "'hybrid' AS source", "CASE l_linenumber % 3 WHEN 0 THEN 'anchor' WHEN 1 THEN 'ecu_doc' ELSE 'template' END AS query_type", "l_orderkey * 10 + l_linenumber AS ord", "CAST(l_quantity AS DOUBLE) AS score")
+    r = _t(spark, d, "lineitem").selectExpr("l_suppkey % 50 AS node", "l_partkey % 40 % 7 AS chunk_id", "'hybrid' AS source", "CASE l_linenumber % 3 WHEN 0 THEN 'anchor' WHEN 1 THEN 'ecu_doc' ELSE 'template' END AS query_type", "l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS ord", "CAST(l_quantity AS DOUBLE) AS score")
     return lookups.distinct_trace(r)
 
 

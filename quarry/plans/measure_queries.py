@@ -141,13 +141,13 @@ def route_trace(spark, d):
     return M.latest_routes(_t(spark, d, "events").selectExpr("event_type AS endpoint", "event_id AS request_id", "ts AS at"), "endpoint").select("endpoint", "request_id", "age")
 
 
-_PATHS = "SELECT l_suppkey AS node, 'p' || (l_partkey % 15) AS path, l_orderkey * 10 + l_linenumber AS ord FROM lineitem"
+_PATHS = "SELECT l_suppkey AS node, 'p' || (l_partkey % 15) AS path, l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS ord FROM lineitem"
 
 
-@query(f"""WITH f AS (SELECT node, path, min(ord) AS ord, count(*) AS n FROM ({_PATHS}) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ord) AS rank FROM f)
+@query(f"""WITH f AS (SELECT node, path, min(ord) AS ord, count(*) AS n FROM ({_PATHS}) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ord, path) AS rank FROM f)
 SELECT node, CAST(sum(n) AS BIGINT) AS original_paths, count_if(rank <= 6) AS kept_paths, string_agg(path, ' | ' ORDER BY rank) FILTER (rank <= 6) AS paths FROM r GROUP BY node""")
 def budgeted_graph_paths(spark, d):
-    return M.budgeted_paths(_t(spark, d, "lineitem").selectExpr("l_suppkey AS node", "concat('p', l_partkey % 15) AS path", "l_orderkey * 10 + l_linenumber AS ord"), 6)
+    return M.budgeted_paths(_t(spark, d, "lineitem").selectExpr("l_suppkey AS node", "concat('p', l_partkey % 15) AS path", "l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS ord"), 6)
 
 
 _LINE = "concat(CASE event_id % 7 WHEN 0 THEN '# HELP ' ELSE '' END, 'app_', event_type, CASE event_id % 5 WHEN 0 THEN '_bucket' ELSE '' END, CASE event_id % 3 WHEN 0 THEN concat('{le=\"', user_id, '\"}') WHEN 1 THEN concat('{user=\"', repeat('u', cast(user_id % 200 AS int)), '\"}') ELSE '' END, ' ', user_id, '.5')"
