@@ -95,4 +95,9 @@ b AS (
 SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10) || chr(10))) AS BIGINT) AS n_chars FROM b
 """
 
-SQL = {"op2_chat_formatting": OP2, "op4_license_scan": OP4, "op7_html_extraction": OP7, "op10_line_dedup": OP10}
+OP13 = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t)
+"""
+
+SQL = {"op2_chat_formatting": OP2, "op4_license_scan": OP4, "op7_html_extraction": OP7, "op10_line_dedup": OP10, "op13_exact_dedup": OP13}
