@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import chat, decontaminate, exact_dedup, html_main, licenses, line_dedup, pieces, pii, quality, simhash_vp, suffix_dedup
+from quarry.llm import chat, decontaminate, exact_dedup, html_main, licenses, line_dedup, pieces, pii, quality, simhash_vp, spelling, suffix_dedup
 from quarry.llm.common import table
 
 PIECE_MODEL = corpus_pipeline.PIECE_MODEL
@@ -68,6 +68,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents"), slip=31))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *exact_dedup.OUTPUTS)
 
@@ -77,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_suffix_array_dedup, op2_chat_formatting, op3_pii_surrogates, op4_license_scan, op5_sentencepiece, op6_simhash_near_dedup, op7_html_extraction, op8_benchmark_decontamination, op9_quality_rules, op10_line_dedup, op13_exact_dedup)}
+    found = {f.__name__: f for f in (op1_suffix_array_dedup, op2_chat_formatting, op3_pii_surrogates, op4_license_scan, op5_sentencepiece, op6_simhash_near_dedup, op7_html_extraction, op8_benchmark_decontamination, op9_quality_rules, op10_line_dedup, op11_spelling_variants, op13_exact_dedup)}
     return found | {"pipeline": pipeline}
 
 
