@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import chat, decontaminate, exact_dedup, html_main, licenses, line_dedup, pieces, pii, quality, simhash_vp, spelling, suffix_dedup
+from quarry.llm import align, chat, decontaminate, exact_dedup, html_main, licenses, line_dedup, pieces, pii, quality, simhash_vp, spelling, suffix_dedup
 from quarry.llm.common import table
 
 PIECE_MODEL = corpus_pipeline.PIECE_MODEL
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PII_KEY = corpus_pipeline.PII_KEY
 
 
@@ -72,6 +73,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents"), slip=31))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignments(table(spark, sf_dir, "documents"), align.Tokenizers.load(BYTE_MODEL, PIECE_MODEL))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *exact_dedup.OUTPUTS)
 
@@ -81,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_suffix_array_dedup, op2_chat_formatting, op3_pii_surrogates, op4_license_scan, op5_sentencepiece, op6_simhash_near_dedup, op7_html_extraction, op8_benchmark_decontamination, op9_quality_rules, op10_line_dedup, op11_spelling_variants, op13_exact_dedup)}
+    found = {f.__name__: f for f in (op1_suffix_array_dedup, op2_chat_formatting, op3_pii_surrogates, op4_license_scan, op5_sentencepiece, op6_simhash_near_dedup, op7_html_extraction, op8_benchmark_decontamination, op9_quality_rules, op10_line_dedup, op11_spelling_variants, op12_cross_tokenizer_alignment, op13_exact_dedup)}
     return found | {"pipeline": pipeline}
 
 
