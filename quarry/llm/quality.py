@@ -9,7 +9,7 @@ that ``keep_percent`` of the trusted documents which pass the base rules reach;
 verdict never depends on partitioning.
 
 Everything is a DataFrame expression. Counting is one map-side-combined aggregate into at most ``n_buckets`` rows;
-scoring is narrow (no shuffle of texts): the fitted weights, ``n_buckets`` doubles, are a constant of the scoring plan.
+scoring is narrow (no shuffle of texts): the fitted weights, ``n_buckets`` doubles, are a scalar subquery of the scoring plan.
 
 Defined results: a null text has no words (all counts 0, ``base_failed``); a text without n-grams has a null score and
 is judged by the base rules alone, and so is every document when no trusted row exists; repeated rows and equal ids are
@@ -18,7 +18,6 @@ judged row by row; extra columns of the input are ignored by name and never clas
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -119,39 +118,37 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityP
     every = counts.sparkSession.range(p.n_buckets).select(F.col("id").cast("int").alias("bucket"))
     weighed = counts.select("bucket", F.when(sure, ratio).otherwise(0.0).alias("w"))
     filled = every.join(weighed, "bucket", "left").select("bucket", F.coalesce("w", F.lit(0.0)).alias("w"))
-    packed = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "w"))), lambda x: x["w"]).alias("weights"))
+    packed = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "w"))), lambda x: F.round(x["w"], 6)).alias("weights"))
     return materialized(packed if total["g"] else packed.select(F.lit(None).cast("array<double>").alias("weights")), "quality-weights")
 
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")
 
 
-def _constant(fitted: DataFrame) -> Column:
-    """The fitted row (``n_buckets`` doubles, a fixed size) as a constant of the scoring plan, to six decimals."""
-    w = fitted.first()["weights"]
-    return F.from_json(F.lit(json.dumps([round(x, 6) or 0 for x in w], separators=(",", ":")) if w else "null"), "array<double>")
-
-
 def judge(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept added.
 
     Columns of those names in the input are replaced.
     """
     trusted = trusted_documents(docs, labels, p)
-    weights = _constant(fit_weights(docs, trusted, p))
+    fitted_weights, wt_name = fit_weights(docs, trusted, p), free_name(docs, "weights")
 
     def seen(w: Column) -> Column:
-        mean = let(weights, lambda wt: let(ngram_buckets(w, p), lambda gs: F.when(F.size(gs) > 0, F.aggregate(gs, F.lit(0.0), lambda acc, g: acc + wt[g]) / F.size(gs))))
+        mean = let(F.col(wt_name), lambda wt: let(ngram_buckets(w, p), lambda gs: F.when((F.size(gs) > 0) & F.isnotnull(wt), F.aggregate(gs, F.lit(0.0), lambda acc, g: acc + wt[g]) / F.size(gs))))
         return F.struct(*[c.alias(n) for n, c in (base_features(F.col("text"), w, p) | {"score": mean}).items()])
 
     def verdict(f: Column) -> Column:
         failed = (f["n_words"] < p.min_words) | (100 * f["n_repeat_words"] > p.max_repeat_percent * f["n_words"])
         return let(failed, lambda b: F.struct(*[f[n].alias(n) for n in FEATURES], b.alias("base_failed"), (~b & F.coalesce(f["score"] >= threshold, F.lit(True))).alias("kept")))
 
+    def judged(rows: DataFrame, name: str) -> DataFrame:
+        # The weights are a scalar subquery: one row of ``n_buckets`` doubles, which no plan spells out. The optimiser moves it
+        # into the one expression that reads it, so it is no column of the rows. All bindings stand inside that expression:
+        # pushing a filter on the verdict down cannot repeat its parts.
+        return rows.withColumn(wt_name, fitted_weights.scalar()).withColumn(name, let(let(words(F.col("text")), seen), verdict)).drop(wt_name)
+
     threshold = F.lit(None).cast("double")
-    fitted = trusted.select(let(let(words(F.col("text")), seen), verdict).alias("v")).filter("not v.base_failed").agg(F.percentile("v.score", F.lit(1 - p.keep_percent / 100))).first()[0]
+    fitted = judged(trusted, "v").filter("not v.base_failed").agg(F.percentile("v.score", F.lit(1 - p.keep_percent / 100))).first()[0]
     threshold = F.lit(fitted).cast("double")
-    # One expression with all bindings inside: pushing a filter on the verdict down cannot repeat its parts.
     name = free_name(docs, "verdict")
-    judged = docs.withColumn(name, let(let(words(F.col("text")), seen), verdict))
-    return judged.withColumns({n: F.col(name)[n] for n in (*FEATURES, "base_failed", "kept")}).drop(name)
+    return judged(docs, name).withColumns({n: F.col(name)[n] for n in (*FEATURES, "base_failed", "kept")}).drop(name)
