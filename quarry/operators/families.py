@@ -32,6 +32,11 @@ def merged_items(items: DataFrame) -> DataFrame:
     return items.filter("item is not null and item <> ''").select("family", "kind", "item").distinct()
 
 
+def registry(items: DataFrame) -> DataFrame:
+    """(family, kind, item, n_templates): the merged signature of each family with the number of templates (doc) that hold an item."""
+    return items.filter("item <> ''").groupBy("family", "kind", "item").agg(F.countDistinct("doc").alias("n_templates"))
+
+
 def merged_counts(tags: DataFrame) -> DataFrame:
     """The largest count of each tag, and the last type of each variable by source (family, name, n, type, source)."""
     return tags.groupBy("family", "name").agg(F.max("n").alias("n"), F.max_by("type", "source").alias("type"))
