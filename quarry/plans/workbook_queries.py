@@ -19,7 +19,7 @@ def _parts(spark, d):
     return W.parts(W.workbook_files(rows))
 
 
-@query(f"WITH {_C} SELECT path, sheet, row, col AS "column", text FROM k")
+@query(f'WITH {_C} SELECT path, sheet, row, col AS "column", text FROM k')
 def workbook_cells(spark, d):
     return W.cells(_parts(spark, d)).drop("sheet_ord")
 
