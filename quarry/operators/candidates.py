@@ -1,7 +1,8 @@
 """Evidence candidates for flow nodes: aliases, relevance score, typed queries, references and fields.
 
-The nodes of a flow plan are a stated set of tasks that is scored against all evidence rows, so they are the broadcast
-side; every other step is an expression per pair or a ranked window per node.
+The nodes of flow plans are a stated set of tasks that is scored against all evidence rows: they are broadcast in blocks of
+counted size. What depends on an evidence row or on a node alone is computed once for it, texts are reduced to the tokens
+that some node of the block asks for, and the best rows of each node are cut before a shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import cleaned, tokens
 from quarry.operators.arguments import is_unit, key_of, unit_of
+from quarry.sources.workspace import written
 
 # Noise titles and phrases, reference signals, core headers, flowchart families, role ranks and score weights.
 NOISE_TITLES = ["document", "contents"]
@@ -25,6 +27,18 @@ ROLE_RANK = {"table_row": 0, "section_text": 1, "flowchart_title": 2, "flowchart
 TITLE = r"(?i)\b(?:(?:IO|Routine)\s+Control\s+Type\s*\d+\s*\([^)]*\)|DTC\s+(?:Clear|Read)\s+Type\s*\d+\s*\([^)]*\)|Information\s+(?:Write|Check(?:\s+And\s+Record)?)\s+(?:flow\s+)?Type\s*\d+\s*\([^)]*\)|Security\s+Access\s+Type\s*\d+\s*\([^)]*\))"
 REFERENCE = r"(?i)\b(?:refer|refers|reference)\s+to\s+(?:the\s+)?(.{3,180}?)(?:[.;]|\n|$)"
 NEAR, MIN_OVERLAP = 0.58, 14.0
+#: Words in a node's names, and the further names that evidence then uses; {template} stands for the template's name.
+SYNONYMS = [
+    (["vmm"], ["Change VMM", "VMM Change", "Change VMM Type1"]),
+    (["dtc clear"], ["DTC Clear", "{template}"]),
+    (["dtc read"], ["DTC Read", "{template}", "Read Snapshot", "No Snapshot"]),
+    (["immobilizer", "secret key"], ["IMMO Secret Key Write", "Secret Key for Immobilizer Target Write", "Secret Key for Immobilizer", "Immobilizer Secret Key", "TCAM IMMO Secret Key Write Check and Upload", "Remote Vehicle Immobilization Secret Key"]),
+    (["request open hv battery"], ["Request Open HV Battery", "Open HV Battery", "Request BECM to Open HV Battery"]),
+]
+#: Identifiers that a plain text names, by the header that a table would give them.
+TEXT_FIELDS = {"DID": r"(?i)\bDID\b[:\s]*((?:0x)?[0-9A-Fa-f]{4,6})", "RID": r"(?i)\bRID\b[:\s]*((?:0x)?[0-9A-Fa-f]{4,8})", "REQUEST PARAMETER": r"(?i)\bREQUEST\s+PARAMETER\b[:\s]*((?:0x)?[0-9A-Fa-f]{2,8}|NA)\b", "PARAMETER": r"(?i)\bPARAMETER\b[:\s]*((?:0x)?[0-9A-Fa-f]{2,8}|NA)\b", "DTC": r"(?i)\bDTC\b[:\s]*((?:0x)?[0-9A-Fa-f]{4,8})\b"}
+#: Bytes of nodes that are sent to every task at once.
+NODE_BLOCK = 8 << 20
 
 
 def graph_tokens(text: Column) -> Column:
@@ -62,12 +76,9 @@ def aliases(name: Column, template: Column, raw: Column) -> Column:
     short, does = template_alias(template), action(name)
     base = F.array(name, template, raw, does, short, F.concat_ws(" ", short, does), F.concat_ws(" ", does, short))
     words = plain(F.array_join(base, " "))
-    more = lambda hits, *names: F.when(reduce(lambda a, b: a | b, [F.contains(words, F.lit(h)) for h in hits]), F.array(*[n if isinstance(n, Column) else F.lit(n) for n in names])).otherwise(F.array().cast("array<string>"))
-    full = F.concat(
-        base, more(["vmm"], "Change VMM", "VMM Change", "Change VMM Type1"), more(["dtc clear"], "DTC Clear", F.regexp_replace(template, "_", " ")), more(["dtc read"], "DTC Read", F.regexp_replace(template, "_", " "), "Read Snapshot", "No Snapshot"),
-        more(["immobilizer", "secret key"], "IMMO Secret Key Write", "Secret Key for Immobilizer Target Write", "Secret Key for Immobilizer", "Immobilizer Secret Key", "TCAM IMMO Secret Key Write Check and Upload", "Remote Vehicle Immobilization Secret Key"),
-        more(["request open hv battery"], "Request Open HV Battery", "Open HV Battery", "Request BECM to Open HV Battery"),
-    )
+    named = lambda n: F.regexp_replace(template, "_", " ") if n == "{template}" else F.lit(n)
+    more = [F.when(reduce(lambda a, b: a | b, [F.contains(words, F.lit(h)) for h in hits]), F.array(*map(named, names))).otherwise(F.array().cast("array<string>")) for hits, names in SYNONYMS]
+    full = F.concat(base, *more)
     return F.array_distinct(F.filter(F.transform(full, spaced), lambda a: a != ""))
 
 
@@ -97,66 +108,94 @@ def references(text: Column) -> Column:
 
 def fallback_fields(text: Column) -> Column:
     """Identifiers that a plain text names, as (header, value)."""
-    rules = {"DID": r"(?i)\bDID\b[:\s]*((?:0x)?[0-9A-Fa-f]{4,6})", "RID": r"(?i)\bRID\b[:\s]*((?:0x)?[0-9A-Fa-f]{4,8})", "REQUEST PARAMETER": r"(?i)\bREQUEST\s+PARAMETER\b[:\s]*((?:0x)?[0-9A-Fa-f]{2,8}|NA)\b", "PARAMETER": r"(?i)\bPARAMETER\b[:\s]*((?:0x)?[0-9A-Fa-f]{2,8}|NA)\b", "DTC": r"(?i)\bDTC\b[:\s]*((?:0x)?[0-9A-Fa-f]{4,8})\b"}
     flat = cleaned(text)
-    each = [F.struct(F.lit(k).alias("header"), F.regexp_extract(flat, p, 1).alias("cell")) for k, p in rules.items()]
+    each = [F.struct(F.lit(k).alias("header"), F.regexp_extract(flat, p, 1).alias("cell")) for k, p in TEXT_FIELDS.items()]
     return F.filter(F.array(*each), lambda f: f["cell"] != "")
 
 
-def family_fit(template: Column, title: Column) -> Column:
-    """Whether a flowchart's title fits the template's family: its own parts, or any title where it has none."""
-    key, words = key_of(template), plain(title)
-    has = lambda *parts: reduce(lambda a, b: a & b, [F.contains(words, F.lit(p)) for p in parts])
-    rule = reduce(lambda c, kv: c.when(F.contains(key, F.lit(kv[0])), has(*kv[1])), FAMILIES.items(), F.when((key == "") | (words == ""), F.lit(False)))
+def family_fit(key: Column, title: Column) -> Column:
+    """Whether a flowchart's title (its plain words) fits the family in a template's key: its own parts, or any title where it has none."""
+    has = lambda *parts: reduce(lambda a, b: a & b, [F.contains(title, F.lit(p)) for p in parts])
+    rule = reduce(lambda c, kv: c.when(F.contains(key, F.lit(kv[0])), has(*kv[1])), FAMILIES.items(), F.when((key == "") | (title == ""), F.lit(False)))
     return rule.when(F.contains(key, F.lit("GEEA30_VMM_CHANGE")), has("io control", "type21")).otherwise(F.lit(True))
 
 
-def needs_family(template: Column) -> Column:
-    key = key_of(template)
+def needs_family(key: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(key, F.lit(k)) for k in (*FAMILIES, "GEEA30_VMM_CHANGE")])
 
 
+def evidence_features(evidence: DataFrame) -> DataFrame:
+    """What the score takes from an evidence row (evidence_id, content, title, unit, module, role, fields) alone; noise rows go, their score is 0."""
+    c = F.col
+    unit, title = F.trim(F.coalesce("unit", F.lit(""))), F.coalesce("title", F.lit(""))
+    fields_text = F.array_join(F.transform("fields", lambda f: F.concat_ws(" ", f["header"], f["cell"])), " ")
+    made = evidence.filter(~noise(c("title"), c("content"))).select(
+        "evidence_id", "role", "fields", unit.alias("unit"), F.coalesce(c("module") == "ecu_parameter", F.lit(False)).alias("parameter"), flowchart_title(c("content")).alias("flow"),
+        graph_tokens(F.concat_ws(" ", "content", title, unit, F.coalesce("module", F.lit("")), fields_text)).alias("words"), F.array_distinct(graph_tokens(title)).alias("title_words"),
+    )
+    core = F.exists("fields", lambda f: F.upper(F.trim(F.regexp_replace(f["header"], r"\s+", " "))).isin(CORE))
+    by_role = F.when(c("role") == "table_row", 3.0).when(c("role") == "section_text", 2.0).when(c("role") == "flowchart_title", 1.0).otherwise(0.0)
+    by_fields = F.when(c("parameter"), 2.0).otherwise(0.0) + F.when(F.size("fields") > 0, 2.0).otherwise(0.0) + F.when(core, 25.0).when(c("role").isin("section_text", "table_row") & (c("flow") == ""), -12.0).otherwise(0.0)
+    return made.select("evidence_id", "role", "unit", "parameter", F.array_join("words", " ").alias("text"), F.array_distinct("words").alias("words"), "title_words", plain(c("flow")).alias("shown"), (c("flow") != "").alias("flows"), tokens(c("unit")).alias("unit_words"), (by_role + by_fields).alias("base"))
+
+
+def node_features(nodes: DataFrame) -> DataFrame:
+    """What the score takes from a node (node, name, template, aliases) alone."""
+    c = F.col
+    own, key = unit_of(c("name"), c("template")), key_of(c("template"))
+    named = F.transform("aliases", lambda a: F.struct(F.array_distinct(graph_tokens(a)).alias("words"), plain(a).alias("phrase")))
+    made = nodes.select("node", "name", own.alias("own"), F.lower(own).alias("own_word"), named.alias("named"), F.array_distinct(graph_tokens(template_alias(c("template")))).alias("template_words"), key.alias("key"), needs_family(key).alias("needs"), (c("template") == "GEEA30_VMM_Change").alias("vmm"))
+    return made.withColumn("asks", F.array_distinct(F.concat(F.flatten(F.transform("named", lambda a: a["words"])), "template_words", F.array("own_word"))))
+
+
 def relevance(pairs: DataFrame) -> DataFrame:
-    """Adds score to pairs of a node (name, template, aliases) and an evidence row (content, title, unit, module, role, fields).
+    """Adds score to pairs of ``node_features`` and ``evidence_features`` (words reduced to those that nodes ask for).
 
     The three best aliases count (14 for the phrase, else by the overlap from 0.58 on), then unit, section title, role,
-    module, fields and flowchart family. Noise scores 0.
+    module, fields and flowchart family.
     """
     c = F.col
-    unit = F.trim(F.coalesce("unit", F.lit("")))
-    fields_text = F.array_join(F.transform("fields", lambda f: F.concat_ws(" ", f["header"], f["cell"])), " ")
-    full = F.concat_ws(" ", "content", F.coalesce("title", F.lit("")), unit, F.coalesce("module", F.lit("")), fields_text)
-    made = pairs.withColumns({"words": graph_tokens(full), "own": unit_of(c("name"), c("template")), "flow": flowchart_title(c("content"))}).withColumn("text", F.array_join("words", " "))
 
     def of_alias(a: Column) -> Column:
-        own = F.array_distinct(graph_tokens(a))
-        share = F.size(F.array_intersect(own, c("words"))) / F.size(own)
-        return F.when(F.size(own) == 0, 0.0).when(F.contains(c("text"), plain(a)), MIN_OVERLAP).when(share >= NEAR, 4 + 6 * share + F.size(F.array_intersect(own, c("words")))).otherwise(0.0)
-
-    best = F.aggregate(F.slice(F.sort_array(F.transform("aliases", of_alias), asc=False), 1, 3), F.lit(0.0), lambda a, x: a + x)
-    fits = (unit != "") & (F.startswith(F.upper(unit), c("own")) | F.array_contains(tokens(unit), F.lower(c("own"))))
-    parameter = F.coalesce(c("module") == "ecu_parameter", F.lit(False))
-    by_unit = F.when((c("own") != "") & (unit != ""), F.when(fits, 16.0).when(parameter, -35.0).otherwise(0.0)).when((c("own") != "") & F.array_contains("words", F.lower(c("own"))), 8.0).otherwise(0.0)
-    titled = F.coalesce("title", F.lit(""))
-    by_title = F.when((titled != "") & F.exists("aliases", lambda a: overlap(graph_tokens(a), graph_tokens(titled)) >= NEAR), 5.0).otherwise(0.0)
-    by_role = F.when(c("role") == "table_row", 3.0).when(c("role") == "section_text", 2.0).when(c("role") == "flowchart_title", 1.0).otherwise(0.0)
-    core = F.exists("fields", lambda f: F.upper(F.trim(F.regexp_replace(f["header"], r"\s+", " "))).isin(CORE))
-    by_fields = F.when(parameter, 2.0).otherwise(0.0) + F.when(F.size("fields") > 0, 2.0).otherwise(0.0) + F.when(core, 25.0).when(c("role").isin("section_text", "table_row") & (c("flow") == ""), -12.0).otherwise(0.0)
-    by_flow = F.when(c("flow") == "", 0.0).when(family_fit(c("template"), c("flow")), 8.0).when(needs_family(c("template")), -35.0).otherwise(1.0)
-    shown = plain(c("flow"))
-    vmm = F.when(c("template") == "GEEA30_VMM_Change", F.when(F.contains(shown, F.lit("type21")), 6.0).otherwise(0.0) - F.when(F.contains(shown, F.lit("type22")) | F.contains(c("text"), F.lit("ignore nrc")), 6.0).otherwise(0.0)).otherwise(0.0)
-    by_template = F.when((c("template") != "") & (overlap(graph_tokens(template_alias(c("template"))), c("words")) >= NEAR), 3.0).otherwise(0.0)
-    total = F.when(noise(c("title"), c("content")), 0.0).otherwise(best + by_unit + by_title + by_role + by_fields + by_flow + vmm + by_template)
-    return made.withColumn("score", F.round(total, 6)).drop("words", "text", "own")
+        n = F.size(a["words"])
+        met = F.size(F.array_intersect(a["words"], c("words")))
+        return F.when(n == 0, 0.0).when(F.contains(c("text"), a["phrase"]), MIN_OVERLAP).when(met / n >= NEAR, 4 + 6 * (met / n) + met).otherwise(0.0)
+
+    best = F.aggregate(F.slice(F.sort_array(F.transform("named", of_alias), asc=False), 1, 3), F.lit(0.0), lambda a, x: a + x)
+    fits = (c("unit") != "") & (F.startswith(F.upper("unit"), c("own")) | F.array_contains(c("unit_words"), c("own_word")))
+    by_unit = F.when((c("own") != "") & (c("unit") != ""), F.when(fits, 16.0).when(c("parameter"), -35.0).otherwise(0.0)).when((c("own") != "") & F.array_contains(c("words"), c("own_word")), 8.0).otherwise(0.0)
+    by_title = F.when((F.size("title_words") > 0) & F.exists("named", lambda a: overlap(a["words"], c("title_words")) >= NEAR), 5.0).otherwise(0.0)
+    by_flow = F.when(~c("flows"), 0.0).when(family_fit(c("key"), c("shown")), 8.0).when(c("needs"), -35.0).otherwise(1.0)
+    vmm = F.when(c("vmm"), F.when(F.contains("shown", F.lit("type21")), 6.0).otherwise(0.0) - F.when(F.contains("shown", F.lit("type22")) | F.contains("text", F.lit("ignore nrc")), 6.0).otherwise(0.0)).otherwise(0.0)
+    by_template = F.when(overlap(c("template_words"), c("words")) >= NEAR, 3.0).otherwise(0.0)
+    return pairs.withColumn("score", F.round(best + by_unit + by_title + c("base") + by_flow + vmm + by_template, 6))
 
 
 def best_candidates(scored: DataFrame, k: int) -> DataFrame:
     """The k best rows of each node: score, then the rank of the role, then the id."""
     rank = reduce(lambda c, kv: c.when(F.col("role") == kv[0], kv[1]), ROLE_RANK.items(), F.when(F.lit(False), 0)).otherwise(9)
-    w = Window.partitionBy("name").orderBy(F.desc("score"), rank, "evidence_id")
+    w = Window.partitionBy("node").orderBy(F.desc("score"), rank, "evidence_id")
     return scored.filter("score > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def task_candidates(nodes: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
+    """node, name, evidence_id, role, score, rank: the k best evidence rows of each node (node, name, template, aliases).
+
+    The evidence rows' features are written once; nodes come in blocks of at most ``NODE_BLOCK`` bytes, counted first.
+    """
+    rows, asked = written(evidence_features(evidence), "evidence-features"), node_features(nodes)
+    size = nodes.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "name", "template", "aliases")) * 6 + 512), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-size // NODE_BLOCK))
+    found = None
+    for i in range(n_blocks):
+        block = asked.filter(F.pmod(F.xxhash64("node"), F.lit(n_blocks)) == i) if n_blocks > 1 else asked
+        wanted = F.broadcast(block.select(F.explode("asks").alias("w")).agg(F.collect_set("w").alias("wanted")))
+        slim = rows.join(wanted, F.lit(True)).withColumn("words", F.array_intersect("words", "wanted")).drop("wanted")
+        best = best_candidates(relevance(slim.join(F.broadcast(block), F.lit(True))), k).select("node", "name", "evidence_id", "role", "score", "rank")
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
 def query_plan(nodes: DataFrame) -> DataFrame:
     """node, ord, query_type, query: up to six typed queries per node, each text once."""
     c = F.col

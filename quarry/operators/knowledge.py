@@ -70,61 +70,90 @@ def provenance(e: DataFrame) -> DataFrame:
     return e.select(F.concat(F.lit("prov:"), "evidence_id", F.lit(":"), F.substring(digest, 1, 12)).alias("provenance_id"), "evidence_id", "doc_id", digest.alias("content_hash"), cut.alias("content_excerpt"))
 
 
-def _parts(e: DataFrame) -> DataFrame:
-    """Evidence rows with arrays of the nodes and edges that they give rise to."""
-    n = lambda i, t, name: F.struct(i.alias("node_id"), F.lit(t).alias("node_type") if isinstance(t, str) else t.alias("node_type"), name.alias("name"))
-    r = lambda s, rel, t: F.struct(s.alias("source"), F.lit(rel).alias("relation") if isinstance(rel, str) else rel.alias("relation"), t.alias("target"))
+def _entries(e: DataFrame) -> DataFrame:
+    """One row for each thing that gives rise to nodes and edges: the evidence row itself, each of its services and each of its fields.
+
+    Ids are plain columns that are made once for an entry: ``role_id``, ``value_id`` (of the cell or service), ``field_id``,
+    ``named_id`` (of the identifier in the cell). ``place`` orders the entries of a row: itself, services, fields.
+    """
+    c = F.col
+    rows = role_node(e).select("ord", "evidence_id", "doc_id", "module", "ecu", "block_role", "role_type", "role_name", "role_id", F.trim(F.coalesce("ecu", F.lit(""))).alias("unit"), F.coalesce("parent_evidence_id", F.lit("")).alias("parent"), "service_ids", "fields")
+    open_ = F.coalesce("block_role", F.lit("")) != "flowchart_body"
+    entry = "struct<kind:string,header:string,value:string>"
+    services = F.transform(F.filter(F.when(open_, c("service_ids")), lambda s: F.trim(s) != ""), lambda s: F.struct(F.lit("service").alias("kind"), F.lit(None).cast("string").alias("header"), s.alias("value")))
+    fields = F.transform(F.filter(F.when(open_, c("fields")), lambda f: F.trim(f["cell"]) != ""), lambda f: F.struct(F.lit("field").alias("kind"), f["header"].alias("header"), f["cell"].alias("value")))
+    itself = F.array(F.struct(F.lit("row").alias("kind"), F.lit(None).cast("string").alias("header"), c("evidence_id").alias("value")))
+    none = F.array().cast(f"array<{entry}>")
+    each = rows.withColumn("all", F.concat(itself, F.coalesce(services, none), F.coalesce(fields, none))).drop("service_ids", "fields").select("*", F.posexplode("all").alias("place", "x")).select("*", "x.*").drop("all", "x")
+    each = each.withColumns({"key": F.when(c("kind") == "field", field_key(c("header"))), "named": F.when(c("kind") == "field", identifier(c("value"))), "value_part": fragment(c("value"))})
+    field_id = node_id("ParameterField", F.concat(fragment(c("header")), F.lit("="), fragment(c("value"), 100)))
+    return each.withColumns({"field_id": F.when(c("kind") == "field", field_id), "named_id": F.when(c("key").isin("DID", "RID"), F.concat("key", F.lit(":"), fragment(c("named"))))})
+
+
+def _of_rows(entries: DataFrame) -> DataFrame:
+    """The entries of the rows themselves, with the ids that only they need."""
+    c = F.col
+    row = (c("parent") != "") & (c("role_type") == "TableRow")
+    made = entries.filter("kind = 'row'").withColumns({"document": node_id("Document", c("doc_id")), "evidence": F.concat(F.lit("Evidence:"), "value_part"), "unit_id": F.when(c("unit") != "", node_id("ECU", c("unit")))})
+    return made.withColumns({"section": F.when(row, node_id("Section", c("parent"))), "table": F.when(row, node_id("Table", F.concat("doc_id", F.lit(":"), "parent")))})
+
+
+def _mentions(entries: DataFrame) -> DataFrame:
+    """ord, place, part, evidence_id, module, ecu, block_role, node_id, node_type, name of every mention of a node."""
     c = F.col
-    e = role_node(e).withColumns({"document": node_id("Document", c("doc_id")), "evidence": node_id("Evidence", c("evidence_id")), "unit": F.trim(F.coalesce("ecu", F.lit(""))), "parent": F.coalesce("parent_evidence_id", F.lit(""))})
+    n = lambda i, t, name: F.when(i.isNotNull(), F.struct(i.alias("node_id"), F.lit(t).alias("node_type") if isinstance(t, str) else t.alias("node_type"), name.alias("name")))
+    own = ["ord", "place", "evidence_id", "module", "ecu", "block_role"]
+    out = lambda df, nodes: df.select(*own, F.posexplode(F.array_compact(F.array(*nodes))).alias("part", "n")).select(*own, "part", "n.*")
+    rows = [n(c("document"), "Document", c("doc_id")), n(c("evidence"), "Evidence", c("evidence_id")), n(c("role_id"), c("role_type"), c("role_name")), n(c("section"), "Section", c("parent")), n(c("table"), "Table", F.concat("parent", F.lit(":table"))), n(c("unit_id"), "ECU", c("unit"))]
+    is_title = c("key") == "FLOWCHART_TITLE"
+    whole = lambda kind: F.concat(F.lit(f"{kind}:"), "value_part")
+    rest = [
+        n(F.when(c("kind") == "service", whole("Service")), "Service", c("value")), n(F.when(is_title, whole("FlowchartTitle")), "FlowchartTitle", c("value")),
+        n(F.when(~is_title, c("field_id")), "ParameterField", F.concat("header", F.lit("="), "value")), n(c("named_id"), c("key"), c("named")),
+    ]
+    return out(_of_rows(entries), rows).unionByName(out(entries.filter("kind <> 'row'"), rest))
+
+
+def _statements(entries: DataFrame) -> DataFrame:
+    """evidence_id, source, relation, target of every statement of an edge."""
+    c = F.col
+    r = lambda s, rel, t: F.when(s.isNotNull() & t.isNotNull(), F.struct(s.alias("source"), F.lit(rel).alias("relation") if isinstance(rel, str) else rel.alias("relation"), t.alias("target")))
+    out = lambda df, edges: df.select("evidence_id", F.inline(F.array_compact(F.array(*edges))))
     contains = reduce(lambda a, kv: a.when(c("role_type") == kv[0], F.lit(kv[1])), CONTAINS.items(), F.when(F.lit(False), F.lit(""))).otherwise(F.lit("contains_evidence"))
     role = c("role_id")
-    nodes, edges = [n(c("document"), "Document", c("doc_id")), n(c("evidence"), "Evidence", c("evidence_id")), n(role, c("role_type"), c("role_name"))], [r(c("document"), contains, role), r(role, "backed_by_evidence", c("evidence"))]
-    row = (c("parent") != "") & (c("role_type") == "TableRow")
-    section, table = node_id("Section", c("parent")), node_id("Table", F.concat("doc_id", F.lit(":"), "parent"))
-    nodes += [F.when(row, n(section, "Section", c("parent"))), F.when(row, n(table, "Table", F.concat("parent", F.lit(":table"))))]
-    edges += [F.when(row, r(section, "contains_table", table)), F.when(row, r(table, "contains_row", role))]
-    unit = node_id("ECU", c("unit"))
-    nodes.append(F.when(c("unit") != "", n(unit, "ECU", c("unit"))))
-    edges += [F.when(c("unit") != "", r(c("document"), "document_for_ecu", unit)), F.when(c("unit") != "", r(role, "mentions_ecu", unit))]
-    open_ = F.coalesce(c("block_role"), F.lit("")) != "flowchart_body"
-    services = F.filter(F.when(open_, F.coalesce("service_ids", F.array().cast("array<string>"))), lambda s: F.trim(s) != "")
-    fields = F.filter(F.when(open_, F.coalesce("fields", F.array().cast("array<struct<header:string,cell:string>>"))), lambda f: F.trim(f["cell"]) != "")
-
-    def field_nodes(f: Column) -> Column:
-        key = field_key(f["header"])
-        title = n(node_id("FlowchartTitle", f["cell"]), "FlowchartTitle", f["cell"])
-        field = n(_field_id(f), "ParameterField", F.concat(f["header"], F.lit("="), f["cell"]))
-        named = lambda kind: n(node_id(kind, identifier(f["cell"])), kind, identifier(f["cell"]))
-        return F.when(key == "FLOWCHART_TITLE", F.array(title)).when(key == "DID", F.array(field, named("DID"))).when(key == "RID", F.array(field, named("RID"))).otherwise(F.array(field))
-
-    def field_edges(f: Column) -> Column:
-        key, one = field_key(f["header"]), r(role, "has_field", _field_id(f))
-        ids = lambda kind: F.array(one, r(role, f"mentions_{kind.lower()}", node_id(kind, identifier(f["cell"]))), r(_field_id(f), "normalizes_to", node_id(kind, identifier(f["cell"]))))
-        return F.when(key == "FLOWCHART_TITLE", F.array(r(role, "refers_to", node_id("FlowchartTitle", f["cell"])))).when(key == "DID", ids("DID")).when(key == "RID", ids("RID")).otherwise(F.array(one))
-
-    none_n, none_e = F.array().cast("array<struct<node_id:string,node_type:string,name:string>>"), F.array().cast("array<struct<source:string,relation:string,target:string>>")
-    all_nodes = F.concat(F.array_compact(F.array(*nodes)), F.coalesce(F.transform(services, lambda s: n(node_id("Service", s), "Service", s)), none_n), F.coalesce(F.flatten(F.transform(fields, field_nodes)), none_n))
-    all_edges = F.concat(F.array_compact(F.array(*edges)), F.coalesce(F.transform(services, lambda s: r(role, "mentions_service", node_id("Service", s))), none_e), F.coalesce(F.flatten(F.transform(fields, field_edges)), none_e))
-    return e.withColumns({"nodes": all_nodes, "edges": all_edges})
-
-
-def _field_id(f: Column) -> Column:
-    return node_id("ParameterField", F.concat(fragment(f["header"]), F.lit("="), fragment(f["cell"], 100)))
+    rows = [r(c("document"), contains, role), r(role, "backed_by_evidence", c("evidence")), r(c("section"), "contains_table", c("table")), r(c("table"), "contains_row", role), r(c("document"), "document_for_ecu", c("unit_id")), r(role, "mentions_ecu", c("unit_id"))]
+    is_title = c("key") == "FLOWCHART_TITLE"
+    field = F.when(~is_title, c("field_id"))
+    rest = [
+        r(role, "mentions_service", F.when(c("kind") == "service", F.concat(F.lit("Service:"), "value_part"))), r(role, "refers_to", F.when(is_title, F.concat(F.lit("FlowchartTitle:"), "value_part"))),
+        r(role, "has_field", field), r(role, F.concat(F.lit("mentions_"), F.lower("key")), c("named_id")), r(field, "normalizes_to", c("named_id")),
+    ]
+    return out(_of_rows(entries), rows).unionByName(out(entries.filter("kind <> 'row'"), rest))
 
 
 def graph_nodes(e: DataFrame) -> DataFrame:
     """node_id, type, name of the first mention, canonical name, evidence count, and the last non-empty module, unit and role."""
-    each = _parts(e).select("ord", "evidence_id", "module", "ecu", "block_role", F.posexplode("nodes").alias("place", "n")).select("ord", "place", "evidence_id", "module", "ecu", "block_role", "n.*")
     last = lambda c: F.max(F.when(F.coalesce(c, F.lit("")) != "", F.struct("ord", c)))[c].alias(c)
-    merged = each.groupBy("node_id").agg(F.min(F.struct("ord", "place", "node_type", "name")).alias("f"), F.countDistinct("evidence_id").alias("n_evidence"), last("module"), last("ecu"), last("block_role"))
+    merged = _mentions(_entries(e)).groupBy("node_id").agg(F.min(F.struct("ord", "place", "part", "node_type", "name")).alias("f"), F.countDistinct("evidence_id").alias("n_evidence"), last("module"), last("ecu"), last("block_role"))
     return merged.select("node_id", "f.node_type", "f.name", canonical(F.col("f.name")).alias("canonical_name"), "n_evidence", "module", "ecu", "block_role")
 
 
+def _edge_id() -> Column:
+    return F.concat(F.lit("Edge:"), F.substring(F.sha1(F.concat_ws("\x00", "source", "relation", "target")), 1, 20))
+
+
 def graph_edges(e: DataFrame) -> DataFrame:
     """edge_id, source, relation, target and the number of evidence rows that state the edge."""
-    each = _parts(e).select("evidence_id", F.inline("edges"))
-    ident = F.concat(F.lit("Edge:"), F.substring(F.sha1(F.concat_ws("\x00", "source", "relation", "target")), 1, 20))
-    return each.groupBy("source", "relation", "target").agg(F.countDistinct("evidence_id").alias("n_evidence")).select(ident.alias("edge_id"), "source", "relation", "target", "n_evidence")
+    each = _statements(_entries(e)).groupBy("source", "relation", "target").agg(F.countDistinct("evidence_id").alias("n_evidence"))
+    return each.select(_edge_id().alias("edge_id"), "source", "relation", "target", "n_evidence")
+
+
+def memberships(e: DataFrame) -> DataFrame:
+    """graph_id, kind, evidence_id: which evidence rows mention a node or state an edge, as rows, so that no node holds an array of them."""
+    entries = _entries(e)
+    nodes = _mentions(entries).select(F.col("node_id").alias("graph_id"), F.lit("node").alias("kind"), "evidence_id")
+    edges = _statements(entries).select(_edge_id().alias("graph_id"), F.lit("edge").alias("kind"), "evidence_id")
+    return nodes.unionByName(edges).distinct()
 
 
 def rendered(nodes: Column, relations: Column) -> Column:

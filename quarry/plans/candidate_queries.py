@@ -17,8 +17,13 @@ ALIASES = {"BCM_DTC_Read_1": ["DTC Read", "BCM read", "of the"], "TCAM_IMMO_Key_
 _N = f"n(name, template, raw) AS (VALUES {_values(NODES)})"
 
 
-def _nodes(spark):
-    return spark.createDataFrame(NODES, "name string, template string, raw string")
+# A node for each supplier, numbered by its key.
+_NS = f"n(name, template, raw) AS (SELECT nm.name || '_' || s_suppkey, template, raw FROM supplier JOIN (VALUES {_values([(i, *x) for i, x in enumerate(NODES)])}) nm(i, name, template, raw) ON nm.i = s_suppkey % {len(NODES)})"
+
+
+def _nodes(spark, d):
+    known = F.broadcast(spark.createDataFrame([(i, *x) for i, x in enumerate(NODES)], "i int, name string, template string, raw string"))
+    return _t(spark, d, "supplier").selectExpr("s_suppkey", f"cast(s_suppkey % {len(NODES)} as int) AS i").join(known, "i").select(F.concat("name", F.lit("_"), F.col("s_suppkey").cast("string")).alias("name"), "template", "raw")
 
 
 def _gt(c: str) -> str:
@@ -33,11 +38,11 @@ _MORE = [(["vmm"], "['Change VMM', 'VMM Change', 'Change VMM Type1']"), (["dtc c
 _ADD = " || ".join(f"CASE WHEN {' OR '.join(f"contains(words, '{h}')" for h in hs)} THEN {names} ELSE [] END" for hs, names in _MORE)
 
 
-@query(f"""WITH {_N}, b AS (SELECT *, {_SHORT} AS short, {_ACT} AS does FROM n), l AS (SELECT *, [name, template, raw, does, short, short || ' ' || does, does || ' ' || short] AS base FROM b),
+@query(f"""WITH {_NS}, b AS (SELECT *, {_SHORT} AS short, {_ACT} AS does FROM n), l AS (SELECT *, [name, template, raw, does, short, short || ' ' || does, does || ' ' || short] AS base FROM b),
 w AS (SELECT *, array_to_string({_gt("array_to_string(base, ' ')")}, ' ') AS words FROM l), f AS (SELECT name, base || {_ADD} AS a FROM w)
 SELECT DISTINCT name, alias FROM (SELECT name, unnest(list_transform(a, lambda x: {_SP.format(c='x')})) AS alias FROM f) WHERE alias <> ''""")
 def node_aliases(spark, d):
-    return _nodes(spark).select("name", F.explode(C.aliases(F.col("name"), F.col("template"), F.col("raw"))).alias("alias"))
+    return _nodes(spark, d).select("name", F.explode(C.aliases(F.col("name"), F.col("template"), F.col("raw"))).alias("alias"))
 
 
 _BOTH = "concat_ws(' ', name, template, raw)"
@@ -49,14 +54,14 @@ _Q = [("anchor", "[name, template, raw, replace(name, '_', ' '), replace(templat
 _ASKS = ", ".join(_ASK.format(t=t, sp=_SP.format(c=f"array_to_string(list_filter({ps}, lambda x: x <> ''), ' ')")) for t, ps in _Q)
 
 
-@query(f"""WITH {_N}, h AS (SELECT *, {_FIRST_UNIT} AS unit, CASE WHEN regexp_extract({_BOTH}, '(?i)\\bType\\s*_?\\s*(\\d+)\\b', 1) <> '' THEN 'Type' || regexp_extract({_BOTH}, '(?i)\\bType\\s*_?\\s*(\\d+)\\b', 1) ELSE '' END AS hint,
+@query(f"""WITH {_NS}, h AS (SELECT *, {_FIRST_UNIT} AS unit, CASE WHEN regexp_extract({_BOTH}, '(?i)\\bType\\s*_?\\s*(\\d+)\\b', 1) <> '' THEN 'Type' || regexp_extract({_BOTH}, '(?i)\\bType\\s*_?\\s*(\\d+)\\b', 1) ELSE '' END AS hint,
   array_to_string(list_distinct(regexp_extract_all({_BOTH}, '\\(([^)]{{3,120}})\\)', 1)), ' ') AS notes FROM n),
 k AS (SELECT *, {_KEEP} AS ps FROM h), p AS (SELECT *, list_filter(ps, lambda x, i: list_position(list_transform(ps, lambda y: upper(y)), upper(x)) = i)[1:6] AS fs FROM k),
 r AS (SELECT *, CASE WHEN len(fs) = 0 THEN replace(name, '_', ' ') ELSE array_to_string(fs, ' ') END AS phrase FROM p), a AS (SELECT name, [{_ASKS}] AS qs FROM r),
 u AS (SELECT name, unnest(qs) AS x, generate_subscripts(qs, 1) - 1 AS ord FROM a)
 SELECT name, min(ord) AS ord, arg_min(x.t, ord) AS query_type, x.q AS query FROM u WHERE x.q <> '' GROUP BY name, x.q""")
 def typed_queries(spark, d):
-    return C.query_plan(_nodes(spark))
+    return C.query_plan(_nodes(spark, d))
 
 
 # Documents as evidence: titles, units, modules, roles, flowchart names and fields follow from the id.
@@ -110,7 +115,7 @@ _OWN = "CASE WHEN {a} THEN upper(split_part(name, '_', 1)) WHEN {b} THEN upper(s
 _TA = f"list_distinct({_gt(_SHORT)})"
 
 
-@query(f"""WITH {_N}, {_ES}, {_AL},
+@query(f"""WITH {_N}, {_ES}, {_AL}, plan AS (SELECT s_suppkey AS node, nm.name FROM supplier JOIN (VALUES {_values([(i, n) for i, (n, _, _) in enumerate(NODES)])}) nm(i, name) ON nm.i = (s_suppkey // 50) % {len(NODES)} WHERE s_suppkey % 50 = 0),
 m AS (SELECT n.*, {_OWN} AS own, {_KEY.format(c='template')} AS key, {_TA} AS ta FROM n),
 v AS (SELECT *, trim(coalesce(unit, '')) AS u, lower(trim(coalesce(title, ''))) AS head, lower({_CLEAN.format(c='content')}) AS flat, {_FLOW} AS flow,
   {_gt("concat_ws(' ', content, coalesce(title, ''), trim(coalesce(unit, '')), coalesce(module, ''), array_to_string(list_transform(fields, lambda f: f.header || ' ' || f.cell), ' '))")} AS words FROM e),
@@ -128,9 +133,9 @@ o AS (SELECT name, evidence_id, role, round(CASE WHEN bad THEN 0 ELSE best
   + CASE WHEN flow = '' THEN 0 WHEN family THEN 8 WHEN needs THEN -35 ELSE 1 END
   + CASE WHEN template = 'GEEA30_VMM_Change' THEN CASE WHEN contains(shown, 'type21') THEN 6 ELSE 0 END - CASE WHEN contains(shown, 'type22') OR contains(text, 'ignore nrc') THEN 6 ELSE 0 END ELSE 0 END
   + CASE WHEN template <> '' AND len(ta) > 0 AND len(list_intersect(ta, words)) / greatest(len(ta), 1) >= {C.NEAR} THEN 3 ELSE 0 END END, 6) AS score FROM t)
-SELECT name, evidence_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, CASE role WHEN 'table_row' THEN 0 WHEN 'section_text' THEN 1 WHEN 'flowchart_title' THEN 2 WHEN 'flowchart_image' THEN 3 ELSE 9 END, evidence_id) AS rank FROM o WHERE score > 0) WHERE rank <= 25""")
+SELECT node, name, evidence_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, CASE role WHEN 'table_row' THEN 0 WHEN 'section_text' THEN 1 WHEN 'flowchart_title' THEN 2 WHEN 'flowchart_image' THEN 3 ELSE 9 END, evidence_id) AS rank FROM o WHERE score > 0) JOIN plan USING (name) WHERE rank <= 25""")
 def task_candidates(spark, d):
-    nodes = spark.createDataFrame([(n, t, r, ALIASES[n]) for n, t, r in NODES], "name string, template string, raw string, aliases array<string>")
-    # The nodes of one flow plan: a stated handful of tasks against all evidence rows.
-    pairs = _evidence(spark, d).join(F.broadcast(nodes), F.lit(True))
-    return C.best_candidates(C.relevance(pairs), 25).select("name", "evidence_id", "score", "rank")
+    """Every fiftieth supplier is a node of a flow plan."""
+    known = spark.createDataFrame([(i, n, t, ALIASES[n]) for i, (n, t, _) in enumerate(NODES)], "i int, name string, template string, aliases array<string>")
+    plan = _t(spark, d, "supplier").filter("s_suppkey % 50 = 0").selectExpr("s_suppkey AS node", f"cast(s_suppkey / 50 as int) % {len(NODES)} AS i")
+    return C.task_candidates(plan.join(F.broadcast(known), "i"), _evidence(spark, d), 25).drop("role")

@@ -76,6 +76,12 @@ def knowledge_edges(spark, d):
     return K.graph_edges(_evidence(spark, d))
 
 
+@query(f"WITH {_BASE}, {_NODES}, {_EDGES} SELECT DISTINCT node_id AS graph_id, 'node' AS kind, evidence_id FROM n UNION ALL SELECT DISTINCT 'Edge:' || substr(sha1(source || chr(0) || relation || chr(0) || target), 1, 20), 'edge', evidence_id FROM r")
+def knowledge_memberships(spark, d):
+    """The evidence of every node and edge, as rows."""
+    return K.memberships(_evidence(spark, d))
+
+
 @query(f"""WITH {_BASE}, x AS (SELECT *, sha256(content) AS h, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS c FROM b)
 SELECT concat('prov:', evidence_id, ':', substr(h, 1, 12)) AS provenance_id, evidence_id, doc_id, h AS content_hash, CASE WHEN length(c) <= {K.EXCERPT} THEN c ELSE rtrim(substr(c, 1, {K.EXCERPT})) || '...' END AS content_excerpt FROM x""")
 def knowledge_provenance(spark, d):

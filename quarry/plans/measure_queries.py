@@ -20,8 +20,8 @@ _REQ = {
     "xml_valid": "l_orderkey % 8 > 0",
 }
 _R = f"r AS (SELECT l_orderkey, l_linenumber, {', '.join(f'{v} AS {k}' for k, v in _REQ.items())} FROM lineitem)"
-_TIMED = """t AS (SELECT *, CASE WHEN ttft IS NOT NULL AND completion_tokens > 1 THEN round(greatest(duration - ttft, 0) / (completion_tokens - 1), 6) END AS tpot,
-  round(CASE WHEN duration > 0 AND completion_tokens > 0 THEN completion_tokens / duration ELSE 0 END, 6) AS tokens_per_second FROM r)"""
+_TIMED = """t AS (SELECT *, CASE WHEN ttft IS NOT NULL AND completion_tokens > 1 THEN floor(greatest(duration - ttft, 0) / (completion_tokens - 1) * 1e6 + 0.5e0) / 1e6 END AS tpot,
+  floor(CASE WHEN duration > 0 AND completion_tokens > 0 THEN completion_tokens / duration ELSE 0 END * 1e6 + 0.5e0) / 1e6 AS tokens_per_second FROM r)"""
 
 
 def _requests(spark, d):
