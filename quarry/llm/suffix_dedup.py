@@ -327,8 +327,37 @@ def _keep(length: int, with_text: bool):
     return run
 
 
+def _numbered(docs: DataFrame) -> DataFrame | None:
+    """number, doc_id, digest of the different (id, text) rows in their order, or None where integer ids already tell all texts apart.
+
+    Numbers follow the order of (id, digest of the text); rows without an id have none.
+    """
+    keyed = docs.filter("doc_id is not null").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    if dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
+        shared = keyed.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi")
+        if shared.isEmpty():
+            return None
+    ordered = keyed.distinct().repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    return materialized(ordered.select(F.monotonically_increasing_id().alias("number"), "doc_id", "digest"), "suffix-numbers")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (byte ranges removed, end exclusive), kept (bytes, null if not asked for) and kept_sha256."""
+    """doc_id, n_bytes, n_removed, spans (byte ranges removed, end exclusive), kept (bytes, null if not asked for) and kept_sha256.
+
+    Rows with one id and different texts are different documents, the one with the smaller digest of its text first; ids
+    that are no integers are put in their own order.
+    """
+    docs = docs.select("doc_id", "text")
+    numbers = _numbered(docs)
+    if numbers is not None:
+        known = numbers.withColumnRenamed("doc_id", "id")
+        rows = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).join(numbers, ["doc_id", "digest"], "left").select(F.col("number").alias("doc_id"), "text")
+        done = _removed(rows, length, with_text)
+        return done.join(known.select("number", "id"), done["doc_id"] == F.col("number"), "left").select(F.col("id").alias("doc_id"), *done.columns[1:])
+    return _removed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, with_text)
+
+
+def _removed(docs: DataFrame, length: int, with_text: bool) -> DataFrame:
     ranges = repeated_ranges(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
+    joined = docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_keep(length, with_text), "doc_id long, n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary, kept_sha256 string")
