@@ -216,10 +216,11 @@ def paragraph_merge(spark, d):
     return chunking.paragraphs(_t(spark, d, "conversations"), "conv_id", "turn", new, "text")
 
 
-MARKDOWN = [(1, "intro\n# First part\nline a\nline b\n## Second part\nline c"), (2, "no heading here"), (3, "# Only heading")]
+# Documents with headings before, after and around their text, or without any.
+_MARKDOWN = "CASE doc_id % 4 WHEN 0 THEN concat('intro', chr(10), '# First part ', doc_id, chr(10), text, chr(10), '##  Second', chr(10), 'line c') WHEN 1 THEN text WHEN 2 THEN concat('# Only ', lang, chr(10)) ELSE concat('### Deep', chr(10), '#no heading', chr(10), text) END"
 
 
-@query(f"""WITH docs(doc_id, text) AS (VALUES {_values(MARKDOWN)}),
+@query(f"""WITH docs AS (SELECT doc_id, {_MARKDOWN} AS text FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM docs),
 n AS (SELECT *, regexp_matches(raw, '^#{{1,6}}\\s+\\S') AS h FROM l),
 s AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS section FROM n)
@@ -227,7 +228,7 @@ SELECT doc_id, CAST(section AS BIGINT) AS section, coalesce(max(CASE WHEN h THEN
   coalesce(trim(string_agg(raw, chr(10) ORDER BY line) FILTER (NOT h)), '') AS body, min(line) AS first_line, max(line) AS last_line
 FROM s GROUP BY doc_id, section""")
 def markdown_sections(spark, d):
-    return chunking.markdown_sections(spark.createDataFrame(MARKDOWN, "doc_id int, text string"))
+    return chunking.markdown_sections(_t(spark, d, "documents").selectExpr("doc_id", f"{_MARKDOWN} AS text"))
 
 
 _SERIES = "SELECT event_type, value FROM events"
@@ -326,10 +327,10 @@ def audit_three_way(spark, d):
     return audit.audit(side("plan"), side("base"), side("fused"), o.filter("o_orderkey % 2 = 0"))
 
 
-@query(f"""WITH j AS (SELECT CAST(o_orderkey AS VARCHAR) AS node, 'status' AS arg, {_VALUE['plan']} AS p, {_VALUE['base']} AS b FROM orders WHERE o_orderkey % 6 <> 1),
+@query(f"""WITH j AS (SELECT CAST(o_orderkey AS VARCHAR) AS node, 'status' AS arg, {_VALUE['plan']} AS p, {_VALUE['base']} AS b FROM orders),
 x AS (SELECT node, arg, CASE WHEN coalesce(b, '') <> '' THEN b ELSE coalesce(p, b) END AS value, false AS appended FROM j) SELECT * FROM x""")
 def fuse_fill_missing(spark, d):
-    o = _t(spark, d, "orders").filter("o_orderkey % 6 <> 1").select("o_orderkey", "o_orderstatus", F.col("o_orderkey").cast("string").alias("node"), F.lit("status").alias("arg"))
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderkey").cast("string").alias("node"), F.lit("status").alias("arg"))
     side = lambda k: o.select("node", "arg", F.expr(_VALUE[k]).alias("value"))
     return audit.fuse(side("plan"), side("base"))
 
@@ -342,17 +343,19 @@ def contract_inference(spark, d):
     return audit.contracts(t, 0.8)
 
 
-STEPS = [(1, 1, "10 03", "50 03"), (1, 2, "27 01", "67 01"), (1, 3, "27 02 AA", "67 02"), (2, 1, "27 02", "67 02"), (2, 2, "22 F1 90", "63 F1 90"), (3, 1, "3E 00", "7E 00"), (3, 2, "27 01", None)]
+# A plan per customer, a step per order.
+STEPS = [("10 03", "50 03"), ("27 01", "67 01"), ("27 02 AA", "67 02"), ("27 02", "67 02"), ("22 F1 90", "63 F1 90"), ("3E 00", "7E 00"), ("27 01", None), ("31 01 02", "7F 31")]
+_SENT = {k: "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN " + ("NULL" if x[j] is None else f"'{x[j]}'") for i, x in enumerate(STEPS)) + " END" for j, k in enumerate(("send", "expect"))}
 
 
-@query(f"""WITH s(plan, step, send, expect) AS (VALUES {_values(STEPS)}),
+@query(f"""WITH s AS (SELECT o_custkey AS plan, o_orderkey AS step, {_SENT['send']} AS send, {_SENT['expect']} AS expect FROM orders),
 b AS (SELECT *, string_split(send, ' ')[1] AS sid, string_split(send, ' ')[2] AS sub, coalesce(string_split(expect, ' ')[1], '') AS got FROM s),
 w AS (SELECT *, coalesce(max(CASE WHEN sid = '10' THEN 1 ELSE 0 END) OVER p, 0) AS ses, coalesce(max(CASE WHEN sid = '27' AND sub = '01' THEN 1 ELSE 0 END) OVER p, 0) AS seed FROM b WINDOW p AS (PARTITION BY plan ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT plan, step, 'response_mismatch' AS code FROM w WHERE got <> '' AND got <> printf('%X', CAST('0x' || sid AS INTEGER) + 64)
 UNION ALL SELECT plan, step, 'security_without_session' FROM w WHERE sid = '27' AND ses = 0
 UNION ALL SELECT plan, step, 'key_without_seed' FROM w WHERE sid = '27' AND sub = '02' AND seed = 0""")
 def uds_rule_validation(spark, d):
-    return audit.service_rules(spark.createDataFrame(STEPS, "plan int, step int, send string, expect string"))
+    return audit.service_rules(_t(spark, d, "orders").selectExpr("o_custkey AS plan", "o_orderkey AS step", *[f"{v} AS {k}" for k, v in _SENT.items()]))
 
 
 _EDGES = """e AS (SELECT 'n' || n_nationkey AS source, 'in' AS relation, 'r' || n_regionkey AS target FROM nation
@@ -409,12 +412,13 @@ def ambiguous_rows(spark, d):
     return li.join(top, "l_orderkey").filter("l_quantity >= top - 3").groupBy("l_orderkey").agg(F.count("*").alias("n_near")).filter("n_near >= 2")
 
 
-METRICS = ["# HELP x", 'hits_total{a="1"} 5', 'hits_total{a="2"} 10', "lat_bucket{le=\"1\"} 7", "up 2", "ratio 0.5"]
+# A line per supplier: comments, labels, buckets, plain values, and text that is no metric.
+_METRIC = "CASE s_suppkey % 6 WHEN 0 THEN '# HELP x' WHEN 1 THEN concat('hits_total{a=\"', s_suppkey, '\"} ', s_nationkey) WHEN 2 THEN concat('lat_bucket{le=\"1\"} ', s_suppkey) WHEN 3 THEN concat('  up ', s_nationkey) WHEN 4 THEN concat('ratio_', s_nationkey, ' 0.5') ELSE 'not a metric' END"
 
 
-@query("SELECT * FROM (VALUES ('hits_total', 15e0), ('up', 2e0), ('ratio', 0.5e0)) t(name, value)")
+@query("""SELECT name, round(sum(v), 6) AS value FROM (SELECT CASE s_suppkey % 6 WHEN 1 THEN 'hits_total' WHEN 3 THEN 'up' ELSE 'ratio_' || s_nationkey END AS name, CASE WHEN s_suppkey % 6 = 4 THEN 0.5e0 ELSE CAST(s_nationkey AS DOUBLE) END AS v FROM supplier WHERE s_suppkey % 6 IN (1, 3, 4)) GROUP BY name""")
 def prometheus_metrics(spark, d):
-    return readers.parse_prometheus(spark.createDataFrame([(m,) for m in METRICS], "value string"))
+    return readers.parse_prometheus(_t(spark, d, "supplier").selectExpr(f"{_METRIC} AS value"))
 
 
 @query("SELECT CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS covered, count(*) AS total, round(avg(CASE WHEN quality = 1 THEN 1e0 ELSE 0e0 END), 6) AS ratio FROM documents JOIN labels USING (doc_id)")

@@ -141,9 +141,13 @@ _ITEMS = [
 ]
 
 
-@query("""SELECT * FROM (VALUES (1, 1, 'text', 0, '2,2,3,4', 'from content', '', '', NULL, ''), (1, 2, 'text', 1, '', 'code here', '', '', NULL, ''), (1, 4, 'table', 2, '0,0,10,9', NULL, 'cap', 'foot', '<table></table>', ''),
-  (1, 5, 'image', 3, '', NULL, 'pic', '', NULL, 'a.png'), (1, 6, 'equation', 3, '', '', '', '', NULL, 'e.png')) AS t(doc_id, ord, type, page, bbox, text, caption, footnote, body, img_path)""")
+_BLOCKS = "(VALUES (1, 'text', 0, '2,2,3,4', 'from content', '', '', NULL, ''), (2, 'text', 1, '', 'code here', '', '', NULL, ''), (4, 'table', 2, '0,0,10,9', NULL, 'cap', 'foot', '<table></table>', ''), (5, 'image', 3, '', NULL, 'pic', '', NULL, 'a.png'), (6, 'equation', 3, '', '', '', '', NULL, 'e.png')) AS t(ord, type, page, bbox, text, caption, footnote, body, img_path)"
+
+
+@query(f"SELECT CAST(d.doc_id AS INT) AS doc_id, t.* FROM documents d JOIN {_BLOCKS} ON t.ord = d.doc_id % 7 + 1")
 def parser_items(spark, d):
     schema = "doc_id int, ord int, type string, page_idx int, bbox array<double>, text string, content string, code_body string, table_body string, table_caption array<string>, table_footnote array<string>, image_caption array<string>, image_footnote array<string>, img_path string"
-    made = B.blocks_from_items(spark.createDataFrame(_ITEMS, schema))
+    # One parser item a document, of the kind that its id says.
+    items = F.broadcast(spark.createDataFrame(_ITEMS, schema).drop("doc_id"))
+    made = B.blocks_from_items(_t(spark, d, "documents").selectExpr("cast(doc_id AS int) AS doc_id", "cast(doc_id % 7 + 1 AS int) AS ord").join(items, "ord"))
     return made.withColumns({"bbox": F.array_join(F.transform("bbox", lambda x: x.cast("string")), ","), "caption": F.array_join("caption", ","), "footnote": F.array_join("footnote", ",")})

@@ -101,20 +101,22 @@ _WANT = "concat('0x', lpad(CAST(p_partkey AS STRING), 6, '0'))"
 _GOT = "CASE p_partkey % 4 WHEN 0 THEN concat(' 0X', CAST(p_partkey AS STRING)) WHEN 1 THEN CAST(p_partkey AS STRING) WHEN 2 THEN NULL ELSE concat('0x', CAST(p_partkey + 1 AS STRING)) END"
 
 
-@query(f"""WITH v AS (SELECT p_partkey AS node, 'id' AS arg, {_WANT} AS expected, {_GOT} AS raw FROM part WHERE p_partkey % 9 <> 0),
+@query(f"""WITH v AS (SELECT p_partkey AS node, 'id' AS arg, {_WANT} AS expected, {_GOT} AS raw FROM part),
 k AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(raw, '\\s+', '', 'g')), '^0x', ''), '^0+(.)', '\\1') AS a, regexp_replace(regexp_replace(expected, '^0x', ''), '^0+(.)', '\\1') AS b FROM v)
 SELECT node, arg, raw, expected, CASE WHEN raw IS NULL THEN 'added' WHEN a <> b THEN 'replaced' ELSE 'kept' END AS action FROM k""")
 def guardrail_corrections(spark, d):
-    p = _t(spark, d, "part").filter("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("node"), F.lit("id").alias("arg"), F.expr(_WANT).alias("want"), F.expr(_GOT).alias("got"))
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("node"), F.lit("id").alias("arg"), F.expr(_WANT).alias("want"), F.expr(_GOT).alias("got"))
     return audit.guardrails(p.filter("got IS NOT NULL").select("node", "arg", F.col("got").alias("value")), p.select("node", "arg", F.col("want").alias("value")))
 
 
-PAIRS = [(1, "0x00F1", "f1"), (2, "A b", "ab"), (3, "0", "0x000"), (4, "zz", "zy"), (5, None, "")]
+_LEFT = "CASE p_partkey % 6 WHEN 0 THEN concat('0x00', p_partkey) WHEN 1 THEN concat('A ', p_partkey, ' b ') WHEN 2 THEN concat('zz', p_partkey) WHEN 3 THEN NULL WHEN 4 THEN CAST(p_partkey AS {s}) ELSE '0' END"
+_RIGHT = "CASE p_partkey % 6 WHEN 0 THEN CAST(p_partkey AS {s}) WHEN 1 THEN concat('a', p_partkey, 'B') WHEN 2 THEN concat('zy', p_partkey) WHEN 3 THEN '' WHEN 4 THEN CAST(p_partkey + 1 AS {s}) ELSE '0x000' END"
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, true)) t(id, same)")
+@query("SELECT p_partkey AS id, p_partkey % 6 IN (0, 1, 3, 5) AS same FROM part")
 def value_equivalence(spark, d):
-    return spark.createDataFrame(PAIRS, "id int, a string, b string").select("id", (comparable(F.col("a")) == comparable(F.col("b"))).alias("same"))
+    pairs = _t(spark, d, "part").selectExpr("p_partkey AS id", _LEFT.format(s="string") + " AS a", _RIGHT.format(s="string") + " AS b")
+    return pairs.select("id", (comparable(F.col("a")) == comparable(F.col("b"))).alias("same"))
 
 
 @query("""WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders)
@@ -130,34 +132,30 @@ def default_args(spark, d):
     return planning.merge_args(_order_side(spark, d, "base").filter("CAST(node AS BIGINT) % 8 <> 1"), _order_side(spark, d, "plan").filter("CAST(node AS BIGINT) % 8 <> 2"))
 
 
-CLASSES = [(1, "Adcu_dtc_clear_type7"), (2, "x DTC-Clear-Type7"), (3, "BCM_vmm_Change"), (4, "io_control_TYPE12"), (5, "own class"), (6, "--"), (7, None)]
+# Class names as templates write them, and the family of each.
+CLASSES = [("Adcu_dtc_clear_type7", "DTC_Clear_Type7"), ("x DTC-Clear-Type7", "DTC_Clear_Type7"), ("BCM_vmm_Change", "VMM_Change"), ("io_control_TYPE12", "IO_Control_Type12"), ("own class", "own_class"), ("--", "unknown_template_family"), (None, "unknown_template_family")]
+_CLASS = "CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN " + (f"'{c}'" if c else "NULL") for i, (c, _) in enumerate(CLASSES)) + " ELSE concat(c_nationkey, '_Routine_control_type', c_custkey % 3) END"
+_FAMILY = "CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN '{f}'" for i, (_, f) in enumerate(CLASSES)) + " ELSE 'Routine_Control_Type' || (c_custkey % 3) END"
 
 
-@query("SELECT * FROM (VALUES ('DTC_Clear_Type7', 2::BIGINT, 2::BIGINT), ('VMM_Change', 1, 1), ('IO_Control_Type12', 1, 1), ('own_class', 1, 1), ('unknown_template_family', 2, 1)) t(family, n_templates, n_classes)")
+@query(f"SELECT {_FAMILY} AS family, count(DISTINCT c_custkey) AS n_templates, count(DISTINCT {_CLASS}) AS n_classes FROM customer GROUP BY 1")
 def template_families(spark, d):
-    return planning.families(spark.createDataFrame(CLASSES, "template int, class string"))
+    return planning.families(_t(spark, d, "customer").selectExpr("c_custkey AS template", f"{_CLASS} AS class"))
 
 
-NODES = [("p", 1, 1, "a<b", "C1", "START"), ("p", 2, 2, "m", "C2", "NORMAL"), ("p", 2, 1, "n", "C3", "NORMAL"), ("q", 1, 1, "o", "C4", "NORMAL")]
-ARGS = [("p", "a<b", 1, "DID", "0xD134"), ("p", "a<b", 2, "Note", None), ("p", "m", 1, "T", "x & y"), ("q", "o", 1, "E", "")]
+# A plan per customer: orders are script nodes, in steps by their keys, every second one with two arguments.
+_SCRIPT = {"plan": "CAST(o_custkey AS {s})", "step": "CAST(o_orderkey % 3 AS INT)", "row": "CAST(o_orderkey % 5 AS INT)", "node": "concat('a<', o_orderkey)", "class": "concat('C&', o_orderpriority)", "script_type": "CASE o_orderkey % 2 WHEN 0 THEN 'START' ELSE 'NORMAL' END"}
 
 
-def _script(name: str, cls: str, kind: str, args: str) -> str:
-    head = f'<ScriptNode Name="{name}" DeadMS="0" RetryTimes="0" ScriptType="{kind}" ClassName="{cls}"'
-    return head + (f"><Args>{args}</Args></ScriptNode>" if args else " />")
-
-
-_XML = {
-    "p": '<SerialNode Name="p" DeadMS="0"><Serials>' + _script("a&lt;b", "C1", "START", '<Arg ArgName="DID">0xD134</Arg><Arg ArgName="Note" />')
-    + '<ParallelNode Name="step_2_parallel" DeadMS="0"><Tasks>' + _script("n", "C3", "NORMAL", "") + _script("m", "C2", "NORMAL", '<Arg ArgName="T">x &amp; y</Arg>') + "</Tasks></ParallelNode></Serials></SerialNode>",
-    "q": '<SerialNode Name="q" DeadMS="0"><Serials>' + _script("o", "C4", "NORMAL", '<Arg ArgName="E"></Arg>') + "</Serials></SerialNode>",
-}
-
-
-@query(f"SELECT * FROM (VALUES {_values(list(_XML.items()))}) t(plan, xml)")
+@query(f"""WITH n AS (SELECT {', '.join(f"{v.replace('{s}', 'VARCHAR')} AS {k}" for k, v in _SCRIPT.items())}, o_orderkey AS k FROM orders),
+t AS (SELECT plan, step, string_agg('<ScriptNode Name="a&lt;' || k || '" DeadMS="0" RetryTimes="0" ScriptType="' || script_type || '" ClassName="' || replace(class, '&', '&amp;') || '"' || CASE WHEN k % 2 = 0 THEN '><Args><Arg ArgName="DID">x &amp; ' || k || '</Arg>' || CASE WHEN k % 4 = 0 THEN '<Arg ArgName="Note" />' ELSE '<Arg ArgName="Note"></Arg>' END || '</Args></ScriptNode>' ELSE ' />' END, '' ORDER BY row, node) AS x, count(*) AS c FROM n GROUP BY plan, step),
+b AS (SELECT plan, string_agg(CASE WHEN c = 1 THEN x ELSE '<ParallelNode Name="step_' || step || '_parallel" DeadMS="0"><Tasks>' || x || '</Tasks></ParallelNode>' END, '' ORDER BY step) AS body FROM t GROUP BY plan)
+SELECT plan, '<SerialNode Name="' || plan || '" DeadMS="0"><Serials>' || body || '</Serials></SerialNode>' AS xml FROM b""")
 def xml_render(spark, d):
-    nodes = spark.createDataFrame(NODES, "plan string, step int, row int, node string, class string, script_type string")
-    return planning.render(nodes, spark.createDataFrame(ARGS, "plan string, node string, position int, arg string, value string"))
+    orders = _t(spark, d, "orders")
+    nodes = orders.selectExpr(*[f"{v.replace('{s}', 'string')} AS {k}" for k, v in _SCRIPT.items()])
+    args = orders.filter("o_orderkey % 2 = 0").selectExpr("cast(o_custkey AS string) AS plan", "concat('a<', o_orderkey) AS node", "inline(array(struct(2 AS position, 'Note' AS arg, CASE WHEN o_orderkey % 4 > 0 THEN '' END AS value), struct(1 AS position, 'DID' AS arg, concat('x & ', o_orderkey) AS value)))")
+    return planning.render(nodes, args)
 
 
 _KEY = "substr(regexp_replace(content, '\\s+', ' ', 'g'), 1, 512)"
