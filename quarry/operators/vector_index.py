@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,26 +34,36 @@ KNOWLEDGE, EVIDENCE, MARKDOWN = "ku:", "ev:", "md_"
 CONTENT_FIELDS = ["protocol", "module", "ecu", "service_ids", "dids", "sessions", "security_levels"]
 
 
-def hashed_vector(text: str, dimension: int) -> list[float]:
-    """Signed counts of hashed words at length 1; a text whose counts are all zero is hashed as a whole."""
+def hashed_words(text: str) -> list[str]:
+    """Words of a text as SQL has them: lower case character by character, cut at blanks, tabs, line ends and form feeds only."""
+    return [w for w in re.split("[ \\t\\n\\f\\r]+", text.replace("Σ", "σ").replace("İ", "i").lower()) if w]
+
+
+def hashed_vector(text: str, dimension: int, whole: bool = True) -> list[float] | None:
+    """Signed counts of hashed words at length 1; a text whose counts are all zero is hashed as a whole, or has no vector."""
     out = np.zeros(dimension)
-    for word in text.lower().split():
+    for word in hashed_words(text):
         digest = hashlib.sha256(word.encode()).digest()
         out[int.from_bytes(digest[:4], "big") % dimension] += 1 - 2 * (digest[4] % 2)
     if not out.any():
+        if not whole:
+            return None
         digest = np.frombuffer(hashlib.sha256(text.encode()).digest(), np.uint8)
         out = (digest[np.arange(dimension) % len(digest)] - 127.5) / 127.5
     return (out / np.sqrt((out * out).sum())).tolist()
 
 
-def embed(texts: DataFrame, text_col: str, dimension: int = 16) -> DataFrame:
-    """``texts`` with ``embedding``, the hashed vector of a column; null is an empty text."""
+def embed(texts: DataFrame, text_col: str, dimension: int = 16, whole: bool = True) -> DataFrame:
+    """``texts`` with ``embedding``, the hashed vector of a column; null is an empty text.
+
+    Without ``whole`` a text whose counts are all zero, as when its words cancel, has a null vector.
+    """
     kept = [c for c in texts.columns if c != "embedding"]
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = [hashed_vector(t.as_py() or "", dimension) for t in b.column(at)]
+            vectors = [hashed_vector(t.as_py() or "", dimension, whole) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*kept, "embedding"])
 
     return texts.select(*kept).mapInArrow(run, T.StructType([*texts.select(*kept).schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))

@@ -3,12 +3,13 @@
 import hashlib
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import retrieval
 from quarry.operators import vector_index as V
-from quarry.plans import vector_queries
+from quarry.plans import catalogue, vector_queries
 
 
 def test_recall_on_the_table(spark):
@@ -73,3 +74,21 @@ def test_records_with_absent_fields(spark):
     got = {r["primary_id"]: r for r in V.records(units, evidence).collect()}
     assert (got["ku:md_e1"]["source_evidence_id"], got["ku:md_e1"]["content"]) == ("e1", "text \n10 22")
     assert (got["ku:d_sem_2"]["content"], got["ku:d_sem_2"]["doc_id"]) == ("", "d") and (got["ev:e1"]["content"], got["ev:e1"]["doc_id"]) == ("body\nUDS", "7")
+
+
+def test_hashed_embeddings_query_follows_its_sql(spark, tmp_path):
+    """Words that cancel leave no row, white space and capitals are SQL's, and ties are rounded as SQL rounds doubles."""
+    at = lambda w: (int(hashlib.sha256(w.encode()).hexdigest()[:8], 16) % 16, int(hashlib.sha256(w.encode()).hexdigest()[9], 16) % 2)
+    words = [f"w{i}" for i in range(2000)]
+    other = next(w for w in words if at(w) == (at("w0")[0], 1 - at("w0")[1]))
+    places = {at(w)[0]: w for w in words}
+    counts = [41, 638, 29, 5, 3]
+    assert sum(n * n for n in counts) == 640 * 640
+    tie = " ".join(" ".join([places[k]] * n) for k, n in enumerate(counts))
+    rows = [(1, f"w0 {other}"), (2, "a b c\x0bd\x1fe"), (3, "\x0b"), (4, "ΣΑΣ İstanbul"), (5, tie), (6, None), (7, " \n"), (None, "text")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(f"SELECT doc_id, position, value FROM ({catalogue.oracle_sql()['hashed_embeddings']})").fetchall()
+    got = vector_queries.hashed_embeddings(spark, str(tmp_path)).select("doc_id", "position", "value").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r[0] for r in want} == {2, 3, 4, 5}
