@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import families as FM
 from quarry.operators import planning
 from quarry.operators import xml_nodes as X
-from quarry.plans.catalogue import _t, query
+from quarry.plans.catalogue import _spread, _t, query
 
 # One expression for both engines: a task node per part; some do not parse, have another root, or lack a section.
 _TASK = """concat(CASE WHEN p_partkey % 17 = 0 THEN '<SerialNode>' WHEN p_partkey % 11 = 0 THEN '<x:TaskNode xmlns:x="urn:x">' ELSE '<TaskNode Name="t">' END,
@@ -32,7 +32,7 @@ r AS (SELECT *, CASE WHEN len(sent) > 0 THEN sent ELSE {_KEPT('hexes', X.REQUEST
 
 
 def _tasks(spark, d):
-    return _t(spark, d, "part").selectExpr("p_partkey AS doc", f"{_TASK} AS xml")
+    return _spread(_t(spark, d, "part")).selectExpr("p_partkey AS doc", f"{_TASK} AS xml")
 
 
 def _joined(found):
@@ -57,9 +57,10 @@ i AS (SELECT doc, unnest([{{'kind': 'service', 'v': list_transform(requests, lam
 SELECT family, k.kind AS kind, item, count(DISTINCT doc) AS n_templates FROM (SELECT family, doc, k, unnest(k.v) AS item FROM i JOIN f USING (doc)) WHERE item <> '' GROUP BY ALL""")
 def template_family_registry(spark, d):
     """Registry of families: what the signatures of their templates hold, and how many of them hold it."""
-    tasks = _t(spark, d, "part").selectExpr("p_partkey AS doc", f"{_TASK} AS xml", f"{_CLASS} AS class_name")
-    family = tasks.select("doc", planning.family_id(F.col("class_name")).alias("family"))
-    return FM.registry(X.signature_items(X.signatures(X.node_table(tasks))).join(family, "doc"))
+    tasks = _spread(_t(spark, d, "part")).selectExpr("p_partkey", f"{_TASK} AS xml", f"{_CLASS} AS class_name")
+    # The family is part of a document's key, so that it need not be joined.
+    keyed = tasks.select(F.struct("p_partkey", planning.family_id(F.col("class_name")).alias("family")).alias("doc"), "xml")
+    return FM.registry(X.signature_items(X.signatures(X.node_table(keyed))).withColumn("family", F.col("doc.family")))
 
 
 _TN = [("17 = 0", "TASKNODE_ROOT_MISMATCH", "'SerialNode'"), ("19 = 0", "TASKNODE_MISSING_MAINNODES", "NULL"), ("19 = 0", "TASKNODE_MISSING_MAINNODE", "NULL"), ("23 = 0", "TASKNODE_MISSING_FLOW_BOX", "NULL")]
