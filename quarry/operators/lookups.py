@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
 
+#: Parts over which the rows of one set of tokens are dealt.
+SALTS = 16
 #: Most sibling rows that one table row brings along.
 SIBLINGS = 80
 
@@ -87,21 +89,25 @@ def next_steps(flow: DataFrame) -> DataFrame:
 def title_images(titles: DataFrame, images: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(title_id, image_id, overlap) where enough of the title's distinct tokens stand in the image's name, by token join.
 
-    Only a title's rarest tokens are joined: one that reaches the threshold has a token among its rarest
-    ``n - ceil(threshold * n) + 1``, so a very frequent token meets few titles and no pair is lost.
+    Texts with one set of tokens are one class, so sets are compared by class and copies only meet in the result. Only a
+    class's rarest tokens are joined: one that reaches the threshold has a token among its rarest
+    ``n - ceil(threshold * n) + 1``, so a very frequent token meets few classes and no pair is lost.
     """
-    cut = lambda d, i, c: d.select(i, F.explode(F.array_distinct(tokens(F.col(c)))).alias("token"))
-    own, other = cut(titles, "title_id", "title"), cut(images, "image_id", "name")
-    often = other.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = own.join(often, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rank, size = Window.partitionBy("title_id").orderBy("n", "token"), Window.partitionBy("title_id")
-    ranked = ranked.withColumn("rank", F.row_number().over(rank)).withColumn("size", F.count("*").over(size))
-    rare = ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("title_id", "token")
-    pairs = rare.join(other, "token").select("title_id", "image_id").distinct()
-    sets = lambda d, i, c, n: d.select(i, F.array_distinct(tokens(F.col(c))).alias(n))
-    met = pairs.join(sets(titles, "title_id", "title", "a"), "title_id").join(sets(images, "image_id", "name", "b"), "image_id")
-    overlap = F.size(F.array_intersect("a", "b")) / F.size("a")
-    return met.select("title_id", "image_id", F.round(overlap, 6).alias("overlap")).filter(F.col("overlap") >= threshold)
+    held = lambda d, i, c, n: d.select(i, F.array_join(F.sort_array(F.array_distinct(tokens(F.col(c)))), " ").alias(n)).filter(F.col(n) != "")
+    classes = lambda d, n: d.select(n).distinct().withColumn(f"{n}s", F.split(n, " "))
+    own, other = held(titles, "title_id", "title", "a"), held(images, "image_id", "name", "b")
+    one, two = classes(own, "a").select("a", "as", F.explode("as").alias("token")), classes(other, "b").select("b", "bs", F.explode("bs").alias("token"))
+    often = two.groupBy("token").agg(F.count("*").alias("n"))
+    ranked = one.join(often, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("n", "token")))
+    rare = ranked.filter(F.col("rank") <= F.size("as") - F.ceil(F.size("as") * threshold - 1e-9) + 1).select("a", "as", "token")
+    met = rare.join(two, "token").dropDuplicates(["a", "b"])
+    alike = met.select("a", "b", F.round(F.size(F.array_intersect("as", "bs")) / F.size("as"), 6).alias("overlap")).filter(F.col("overlap") >= threshold)
+    # A class of many copies makes far more rows than it reads, so its images are dealt over ``SALTS`` and the partitions are counted, not coalesced by their size.
+    n = 8 * own.sparkSession.sparkContext.defaultParallelism
+    asked = own.join(alike, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(n, "b", "salt")
+    images_ = other.withColumn("salt", F.pmod(F.xxhash64("image_id"), F.lit(SALTS)).cast("int")).repartition(n, "b", "salt")
+    return asked.join(images_, ["b", "salt"]).select("title_id", "image_id", "overlap")
 
 
 def distinct_trace(results: DataFrame) -> DataFrame:

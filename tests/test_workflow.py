@@ -87,3 +87,15 @@ def test_rendered_xml_parses(spark):
     args = spark.createDataFrame([("p", 'n"&', 1, "A", "<1>")], "plan string, node string, position int, arg string, value string")
     root = ET.fromstring(planning.render(nodes, args).select(F.col("xml")).first()["xml"])
     assert root.find(".//ScriptNode").get("Name") == 'n"&' and root.find(".//Arg").text == "<1>"
+
+
+def test_copies_of_titles_are_dealt_out(spark):
+    """Sets of words are compared by class, and the many rows of one class come from many tasks."""
+    from quarry.operators import lookups
+
+    titles = spark.createDataFrame([(i, ["Red bolt", "bolt red red"][i % 2]) for i in range(20)] + [(20, ""), (21, None), (22, "red nut brass")], "title_id int, title string")
+    images = spark.createDataFrame([(i, "a red BOLT") for i in range(30)] + [(30, "nut red"), (31, None)], "image_id int, name string")
+    found = lookups.title_images(titles, images, 0.6)
+    assert found.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted([(t, i, 1.0) for t in range(20) for i in range(30)] + [(22, 30, 0.666667)])
