@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.planning import _escape
 from quarry.operators.xml_nodes import node_table, within
+from quarry.sources.workspace import written
 
 # Names of parts and namespaces of the format, and how a flow cell and a step are written.
 BOOK, LINKS, STRINGS = "xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/sharedStrings.xml"
@@ -82,7 +83,8 @@ def _joined_texts(nodes: DataFrame, outer: DataFrame) -> DataFrame:
 def cells(found: DataFrame) -> DataFrame:
     """path, sheet_ord, sheet, row, column, text of the cells of ``parts`` that have a value, trimmed."""
     wanted = found.filter(F.col("part").isNotNull()).select(F.struct("path", "part").alias("doc"), "xml")
-    nodes = node_table(wanted).filter("pre >= 0")
+    # Written, since its parts are read again and again below: each time the files would be unzipped and parsed anew.
+    nodes = written(node_table(wanted).filter("pre >= 0"), "workbook-nodes")
     of = lambda part: nodes.filter(F.col("doc.part") == part)
     path = F.col("doc.path").alias("path")
 

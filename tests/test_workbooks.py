@@ -64,3 +64,11 @@ def test_files_from_a_folder(spark, tmp_path):
     (tmp_path / "deep" / "b.txt").write_text("no")
     got = W.cells(W.parts(W.read_files(spark, str(tmp_path)))).collect()
     assert sorted((x["sheet"], x["row"], x["column"], x["text"]) for x in got) == [("S2", 1, 1, "7"), ("S_1_", 4, 2, "y(T)"), ("S_1_", 5, 30, "x <&> (T)")]
+
+
+def test_files_are_parsed_once(spark):
+    """What is joined below are written nodes: no side unzips and parses the files again."""
+    files = spark.createDataFrame([("a.xlsx", _book([("S", "worksheets/sheet1.xml", '<row r="1"><c r="B1" t="s"><v>0</v></c></row>')], "<si><t>x(T)</t></si>"))], "path string, content binary")
+    found = W.cells(W.parts(files))
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["sheet"], r["row"], r["column"], r["text"]) for r in found.collect()] == [("S", 1, 2, "x(T)")]
