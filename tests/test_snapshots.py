@@ -68,3 +68,14 @@ def test_targets_and_attached_paths(spark):
     own = spark.createDataFrame([("a", 1, "own"), ("a", 2, "own")], "node string, ord int, path string")
     paths = [r["path"] for r in P.attached(edges, starts, targets, own, 6, 2).filter("node = 'a'").orderBy("nth").collect()]
     assert paths == ["own", "t:a --next_step--> t:b", "t:a --next_step--> t:c", "t:a --uses_template--> TemplateClass:T_1", "t:a --uses_template--> TemplateClass:T_1 --backed_by_xml_template--> XmlTemplate:T_1", "t:a --uses_template--> x --uses_template--> XmlTemplate:T_1"]
+
+
+def test_targets_that_many_share_are_walked_from_once(spark, monkeypatch):
+    """Forty asks for one hub: the backward halves are those of the hub, not forty times as many."""
+    edges = [(f"m{i}", "r", "hub") for i in range(5)] + [(f"p{i}", "r", f"m{i % 5}") for i in range(20)] + [(f"o{i}", "r", f"p{i}") for i in range(20)] + [(f"s{i}", "r", f"o{i % 20}") for i in range(40)]
+    held, write = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, label: (lambda out: (held.append((label, out.count())), out)[1])(write(df, label)))
+    asks = [(i, f"s{i}", "hub", [["r"], []][i % 2], 4) for i in range(40)]
+    got = P.typed_paths(spark.createDataFrame(edges, "source string, relation string, target string"), spark.createDataFrame(asks, "ask int, source string, target string, allowed array<string>, max_depth int"), 3)
+    assert sorted((r["ask"], r["depth"], r["nodes"][1]) for r in got.collect()) == [(i, 4, f"o{i % 20}") for i in range(40)]
+    assert [n for label, n in held if label == "graph-halves"] == [40, 40, 2 * 5, 2 * 20]
