@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import normalised, tokens
+from quarry.operators.nearest import nearest
 
 K1, B = 1.5, 0.75
 
@@ -63,23 +64,25 @@ def similarity(a: Column, b: Column, metric: str, norms: tuple[Column, Column] |
 
 #: Bytes of query vectors that are sent to every task at once.
 QUERY_BLOCK = 32 << 20
+#: Tasks of a search for each core.
+TASKS = 2
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", filters: Column | None = None, source: str | None = None) -> DataFrame:
     """Exact top k per query: filters first, then (score down, id up), the first of each ``source``, then the cut.
 
-    ``vectors`` has vec_id and embedding, ``queries`` query_id and q. Vectors stay where they are; queries are broadcast in
-    blocks of at most ``QUERY_BLOCK`` bytes (counted, not assumed), and each block's best rows are cut before a shuffle.
+    ``vectors`` has vec_id and embedding, ``queries`` query_id and q. Vectors are dealt over the tasks; queries are broadcast in
+    blocks of at most ``QUERY_BLOCK`` bytes (counted, not assumed), and each task cuts a block's best rows before a shuffle.
     """
-    pool = (vectors.filter(filters) if filters is not None else vectors).withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
+    pool = vectors.filter(filters) if filters is not None else vectors
+    # A table of vectors is small beside its work: few splits of its files would keep few cores busy.
+    pool = pool.repartition(TASKS * pool.sparkSession.sparkContext.defaultParallelism)
     size = queries.agg(F.coalesce(F.sum(F.size("q") * 8 + 64), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // QUERY_BLOCK))
-    asked = queries.withColumn("q_norm", F.sqrt(dot(F.col("q"), F.col("q"))))
     found = None
     for i in range(n_blocks):
-        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i) if n_blocks > 1 else asked
-        met = pool.join(F.broadcast(block), F.size("embedding") == F.size("q"))
-        scored = met.withColumn("score", similarity(F.col("embedding"), F.col("q"), metric, (F.col("norm"), F.col("q_norm"))))
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i) if n_blocks > 1 else queries
+        scored = nearest(pool, block.select("query_id", "q"), k, metric, source, carry=[source] if source else [])
         if source:
             first = Window.partitionBy("query_id", source).orderBy(F.col("score").desc(), F.col("vec_id"))
             scored = scored.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
