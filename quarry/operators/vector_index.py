@@ -22,9 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.retrieval import QUERY_BLOCK, dot, similarity, top_k
+from quarry.operators.nearest import nearest
+from quarry.operators.retrieval import QUERY_BLOCK, TASKS, top_k
 
 MAX_LEADERS = 4096
+#: Rows whose scores against all leaders are held at once.
+SCORED = 1024
 OTHER = -1
 
 # The middle of an id that says what the unit was cut from, endings of parser files, and id prefixes.
@@ -121,8 +124,8 @@ def leaders(vectors: DataFrame, id_col: str = "vec_id", n_leaders: int | None =
     return first.join(first.agg(F.min_by(F.size("embedding"), "h").alias("dims")), F.size("embedding") == F.col("dims")).select("leader", "embedding")
 
 
-def _cells(rows: DataFrame, vector: str, lead: DataFrame, probes: int) -> DataFrame:
-    """``rows`` with ``cells``: numbers of the ``probes`` most similar leaders in order of their ids, most similar first."""
+def _cells(rows: DataFrame, vector: str, lead: DataFrame, probes: int | None = None) -> DataFrame:
+    """``rows`` with ``cell``, the number of the most similar leader in order of their ids, or with ``cells``: a bit for each of the ``probes`` most similar."""
     known = sorted(((r["leader"], r["embedding"]) for r in lead.collect()), key=lambda x: x[0])
     matrix = np.array([v for _, v in known], np.float64) if known else np.zeros((0, 0))
     length = np.sqrt((matrix * matrix).sum(axis=1))
@@ -136,17 +139,25 @@ def _cells(rows: DataFrame, vector: str, lead: DataFrame, probes: int) -> DataFr
             listed = b.column(at)
             sizes = np.array([-1 if n is None else n for n in pa.compute.list_value_length(listed).to_pylist()], np.int64)
             fit = np.flatnonzero(sizes == base.shape[1]) if base.size else np.zeros(0, np.int64)
-            found: list[list[int]] = [[OTHER]] * b.num_rows
-            if len(fit):
-                x = listed.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), -1)
+            cell, bits = np.full(b.num_rows, OTHER, np.int32), [bytes(-(-len(base) // 8))] * b.num_rows
+            # One block of scores at a time, however many rows a batch has.
+            for lo in range(0, len(fit), SCORED):
+                part = fit[lo : lo + SCORED]
+                x = listed.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
                 norm = np.sqrt((x * x).sum(axis=1))
                 score = np.round(x @ base.T / np.where(norm > 0, norm, 1)[:, None], 6)
-                best = score.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-score, axis=1, kind="stable")[:, :probes]
-                for k, cells in zip(fit.tolist(), best.tolist()):
-                    found[k] = cells
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
+                if probes is None:
+                    cell[part] = score.argmax(axis=1)
+                    continue
+                probed = np.zeros(score.shape, bool)
+                np.put_along_axis(probed, np.argsort(-score, axis=1, kind="stable")[:, :probes], True, axis=1)
+                for k, packed in zip(part.tolist(), np.packbits(probed, axis=1, bitorder="little")):
+                    bits[k] = packed.tobytes()
+            made = pa.array(cell) if probes is None else pa.array(bits, pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "cell" if probes is None else "cells"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+    more = T.StructField("cell", T.IntegerType()) if probes is None else T.StructField("cells", T.BinaryType())
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, more]))
 
 
 def build(vectors: DataFrame, path: str, id_col: str = "vec_id", n_leaders: int | None = None) -> None:
@@ -154,30 +165,32 @@ def build(vectors: DataFrame, path: str, id_col: str = "vec_id", n_leaders: int
     lead = leaders(vectors, id_col, n_leaders)
     lead.write.mode("overwrite").parquet(f"{path}/leaders")
     lead = vectors.sparkSession.read.parquet(f"{path}/leaders")
-    placed = _cells(vectors, "embedding", lead, 1).withColumn("cell", F.col("cells")[0]).drop("cells")
+    placed = _cells(vectors, "embedding", lead)
     placed.repartitionByRange("cell", id_col).sortWithinPartitions("cell", id_col).write.mode("overwrite").parquet(f"{path}/cells")
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: float, metric: str = "COSINE", overfetch: int = 5, filters: Column | None = None, keep: Column | None = None, source: str | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: of the rows in the probed cells the ``k * overfetch`` best, then ``keep`` and the first of each ``source``, then k.
 
-    ``queries`` has query_id and q; ``filters`` is applied while scanning. Queries are broadcast in blocks of counted size by
-    the cells they probe, so a row meets only the queries of its own cell and no vector is shuffled before the cut.
+    ``queries`` has query_id and q; ``filters`` is applied while scanning. Queries are broadcast in blocks of counted size with
+    the cells that they probe, a bit a cell, so a row meets only the queries of its own cell and each task cuts before the shuffle.
     ``probes`` is the share of the cells that a query probes.
     """
     lead = spark.read.parquet(f"{path}/leaders")
-    probes = math.ceil(probes * lead.count())
+    n_leaders = lead.count()
     rows = spark.read.parquet(f"{path}/cells")
-    pool = (rows.filter(filters) if filters is not None else rows).withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    asked = _cells(queries.select("query_id", "q"), "q", lead, probes)
-    asked = asked.withColumn("cell", F.explode(F.array_distinct(F.concat("cells", F.array(F.lit(OTHER)))))).drop("cells").withColumn("q_norm", F.sqrt(dot(F.col("q"), F.col("q"))))
-    size = queries.agg(F.coalesce(F.sum((F.size("q") * 8 + 64) * (probes + 1)), F.lit(0))).first()[0]
+    pool = rows.filter(filters) if filters is not None else rows
+    # By range, so that a task has few cells of many rows each.
+    pool = pool.repartitionByRange(TASKS * spark.sparkContext.defaultParallelism, "cell", "vec_id").sortWithinPartitions("cell", "vec_id")
+    # What ``keep`` may ask for is not known.
+    carry = [c for c in rows.columns if c not in ("vec_id", "embedding", "cell")] if keep is not None else [source] if source else []
+    size = queries.agg(F.coalesce(F.sum(F.size("q") * 8 + 64 + n_leaders // 8), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // QUERY_BLOCK))
     found = None
     for i in range(n_blocks):
-        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i) if n_blocks > 1 else asked
-        met = pool.join(F.broadcast(block), "cell").filter(F.size("embedding") == F.size("q"))
-        scored = met.withColumn("score", similarity(F.col("embedding"), F.col("q"), metric, (F.col("norm"), F.col("q_norm"))))
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i) if n_blocks > 1 else queries
+        asked = _cells(block.select("query_id", "q"), "q", lead, math.ceil(probes * n_leaders))
+        scored = nearest(pool, asked, k * overfetch, metric, cell="cell", carry=carry)
         best = top_k(scored, k * overfetch, id_col="vec_id")
         if keep is not None:
             best = best.filter(keep)
