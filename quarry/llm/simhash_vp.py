@@ -208,9 +208,9 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return spread.groupBy("leaf", "home_part", "ask_part").applyInArrow(_links, "u long, v long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with a link; root is the least node of the component."""
-    e = materialized(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+def components(edges: DataFrame, label: str = "cc") -> DataFrame:
+    """(node, root) of every node with a link; root is the least node of the component. ``label`` names the tables that are written."""
+    e = materialized(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     seen = None
     while True:
         # Large star: neighbours above a node move to the least node around it.
@@ -220,7 +220,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its neighbours below move to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = materialized(small.filter("u <> v").distinct(), "cc")
+        e = materialized(small.filter("u <> v").distinct(), label)
         now = tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
