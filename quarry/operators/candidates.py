@@ -1,7 +1,7 @@
 """Evidence candidates for flow nodes: aliases, relevance score, typed queries, references and fields.
 
-The nodes of flow plans are a stated set of tasks that is scored against all evidence rows: they are broadcast in blocks of
-counted size. What depends on an evidence row or on a node alone is computed once for it, texts are reduced to the tokens
+The nodes of flow plans are a stated set of tasks that is scored against all evidence rows, each distinct task once: they are
+broadcast in blocks of counted size. What depends on an evidence row or on a node alone is computed once for it, texts are reduced to the tokens
 that some node of the block asks for, and the best rows of each node are cut before a shuffle.
 """
 
@@ -181,10 +181,14 @@ def best_candidates(scored: DataFrame, k: int) -> DataFrame:
 def task_candidates(nodes: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
     """node, name, evidence_id, role, score, rank: the k best evidence rows of each node (node, name, template, aliases).
 
-    The evidence rows' features are written once; nodes come in blocks of at most ``NODE_BLOCK`` bytes, counted first.
+    A score depends on what a node says, not on the node: nodes that say the same are one task, which is scored once and whose
+    rows they share. The evidence rows' features are written once; tasks come in blocks of at most ``NODE_BLOCK`` bytes, counted first.
     """
-    rows, asked = written(evidence_features(evidence), "evidence-features"), node_features(nodes)
-    size = nodes.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "name", "template", "aliases")) * 6 + 512), F.lit(0))).first()[0]
+    says = ["name", "template", "aliases"]
+    named = nodes.select("node", F.struct(*says).alias("says"))
+    tasks = named.select("says").distinct().select(F.col("says").alias("node"), "says.*")
+    rows, asked = written(evidence_features(evidence), "evidence-features"), node_features(tasks)
+    size = tasks.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "name", "template", "aliases")) * 6 + 512), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // NODE_BLOCK))
     found = None
     for i in range(n_blocks):
@@ -193,7 +197,7 @@ def task_candidates(nodes: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
         slim = rows.join(wanted, F.lit(True)).withColumn("words", F.array_intersect("words", "wanted")).drop("wanted")
         best = best_candidates(relevance(slim.join(F.broadcast(block), F.lit(True))), k).select("node", "name", "evidence_id", "role", "score", "rank")
         found = best if found is None else found.unionByName(best)
-    return found
+    return named.join(found.withColumnRenamed("node", "says"), "says").select("node", "name", "evidence_id", "role", "score", "rank")
 
 
 def query_plan(nodes: DataFrame) -> DataFrame:
