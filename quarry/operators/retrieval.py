@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import normalised, tokens
 from quarry.operators.nearest import nearest
+from quarry.sources.workspace import written
 
 K1, B = 1.5, 0.75
 
@@ -29,20 +30,24 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, filters: Column | None = N
     """
     pool = (docs.filter(filters) if filters is not None else docs).select("doc_id", "text")
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    terms = asked.select("term").distinct()
-    sized = pool.select("doc_id", tokens(F.col("text")).alias("ts"))
+    phrases = queries.select("query_id", normalised(F.col("query")).alias("phrase")).filter("phrase <> ''")
+    # The queries are a batch of bounded size: what they ask for is one row, so that each text is cut into tokens once and
+    # only its length, its asked terms and the phrases that it holds are kept.
+    wanted = asked.agg(F.collect_set("term").alias("wanted")).join(phrases.agg(F.collect_list(F.struct("query_id", "phrase")).alias("phrases")), F.lit(True))
+    cut = pool.select("doc_id", tokens(F.col("text")).alias("ts")).join(F.broadcast(wanted), F.lit(True))
+    held = F.filter("phrases", lambda p: F.contains(F.col("body"), p["phrase"])) if phrase_boost else F.slice("phrases", 1, 0)
+    kept = cut.select("doc_id", F.size("ts").alias("n_tokens"), F.filter("ts", lambda t: F.array_contains("wanted", t)).alias("ts"), F.array_join("ts", " ").alias("body"), "phrases")
+    sized = written(kept.select("doc_id", "n_tokens", "ts", F.transform(held, lambda p: p["query_id"]).alias("held")), "bm25-texts")
     # One row, joined to the matching postings: the statistics are part of the plan.
-    stats = F.broadcast(sized.agg(F.count("*").alias("n"), F.greatest(F.avg(F.size("ts")), F.lit(1.0)).alias("avg_len")))
-    postings = sized.select("doc_id", F.greatest(F.size("ts"), F.lit(1)).alias("len"), F.explode("ts").alias("term")).join(terms, "term", "left_semi")
+    stats = F.broadcast(sized.agg(F.count("*").alias("n"), F.greatest(F.avg("n_tokens"), F.lit(1.0)).alias("avg_len")))
+    postings = sized.select("doc_id", F.greatest("n_tokens", F.lit(1)).alias("len"), F.explode("ts").alias("term"))
     tf = postings.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = tf.join(df, "term").join(asked, "term").join(stats, F.lit(True)).groupBy("query_id", "doc_id").agg(F.sum(part * F.col("qtf")).alias("score"))
     if phrase_boost:
-        #: The queries are a batch of bounded size; every document meets each phrase once.
-        phrases = queries.select("query_id", normalised(F.col("query")).alias("phrase")).filter("phrase <> ''")
-        hits = pool.select("doc_id", normalised(F.col("text")).alias("body")).join(phrases, F.expr("contains(body, phrase)")).select("query_id", "doc_id", F.lit(phrase_boost).alias("score"))
+        hits = sized.select(F.explode("held").alias("query_id"), "doc_id", F.lit(phrase_boost).alias("score"))
         scored = scored.unionByName(hits).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     return top_k(scored.withColumn("score", F.round("score", 6)).filter("score > 0"), k).select("query_id", "rank", "doc_id", "score")
 
