@@ -15,7 +15,9 @@ WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 def tokens(text: Column) -> Column:
     """Hex literals, words and short hex runs in order, lower-cased, ``0x`` dropped; null gives none."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return F.filter(F.transform(found, lambda t: F.regexp_replace(F.lower(t), "^0x", "")), lambda t: t != "")
+    # Comparing is much cheaper than a regular expression for every token.
+    bare = lambda t: F.when(F.startswith(t, F.lit("0x")), F.substring(t, 3, 1 << 30)).otherwise(t)
+    return F.filter(F.transform(F.transform(found, F.lower), bare), lambda t: t != "")
 
 
 def normalised(text: Column) -> Column:
@@ -23,20 +25,20 @@ def normalised(text: Column) -> Column:
     return F.array_join(tokens(text), " ")
 
 
-def _words(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), WORD_SPLIT)
+def _alone(text: Column, pattern: str) -> Column:
+    """The group of each match that is a word by itself: one scan of the text, no array of its words."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?<![\p{{L}}\p{{N}}_]){pattern}(?![\p{{L}}\p{{N}}_])"), F.lit(1))
 
 
 def service_ids(text: Column) -> Column:
     """Known two-digit service identifiers that stand alone, distinct, first seen first."""
-    bare = F.transform(_words(text), lambda w: F.upper(F.regexp_extract(w, "^(?:0x)?([0-9A-Fa-f]{2})$", 1)))
+    bare = F.transform(_alone(text, "(?:0x)?([0-9A-Fa-f]{2})"), F.upper)
     return F.array_distinct(F.filter(bare, lambda w: w.isin(SERVICE_IDS)))
 
 
 def data_ids(text: Column) -> Column:
     """Stand-alone words of four hexadecimal digits (the prefix ``DID`` is allowed), upper-cased, distinct, first seen first."""
-    bare = F.transform(_words(text), lambda w: F.upper(F.regexp_extract(w, "^(?:DID|did)?([0-9A-Fa-f]{4})$", 1)))
-    return F.array_distinct(F.filter(bare, lambda w: w != ""))
+    return F.array_distinct(F.transform(_alone(text, "(?:DID|did)?([0-9A-Fa-f]{4})"), F.upper))
 
 
 def sessions(text: Column) -> Column:

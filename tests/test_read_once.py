@@ -24,3 +24,12 @@ def test_bm25_cuts_each_text_once(spark):
     asked = spark.createDataFrame([(1, "0xab d"), (2, "zz")], "query_id int, query string")
     got = retrieval.bm25(docs, asked, 2, phrase_boost=5.0).collect()
     assert [(r["query_id"], r["doc_id"]) for r in got] == [(1, 2)] and got[0]["score"] > 5 and seen.value == 3
+
+
+@pytest.mark.parametrize(("text", "services", "ids"), [("22 0x2E,2f é22 22_ 0x220", ["22", "2E", "2F"], []), ("DIDF190 didf191 Did1234 f190 0xF192 F1901", [], ["F190", "F191"]), (None, [], [])])
+def test_identifiers_stand_alone(spark, text, services, ids):
+    df = spark.createDataFrame([(text,)], "t string").select(T.service_ids(F.col("t")).alias("s"), T.data_ids(F.col("t")).alias("d"))
+    (row,) = df.collect()
+    assert row["s"] == services and row["d"] == ids
+    # One scan of the text: no array of all its words.
+    assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()
