@@ -33,3 +33,17 @@ def test_identifiers_stand_alone(spark, text, services, ids):
     assert row["s"] == services and row["d"] == ids
     # One scan of the text: no array of all its words.
     assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vector_records_make_the_chunks_once(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(1, "one line\nDID F190 0x22"), (2, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made, chunks = [], vector_queries._chunks
+
+    def counting(s, d):
+        df, seen = _counted(s, chunks(s, d), "content")
+        made.append(seen)
+        return df
+
+    monkeypatch.setattr(vector_queries, "_chunks", counting)
+    n = len(vector_queries.vector_records(spark, str(tmp_path)).collect())
+    assert n == 2 * made[0].value and len(made) == 1
