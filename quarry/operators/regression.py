@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.xml_nodes import node_table, xml_issues, xml_stats
+from quarry.operators.xml_nodes import judged, node_table
+from quarry.sources.workspace import written
 
 # Artifacts that a run must have, and checks as (name, metric, rule); an expectation has the check's name.
 REQUIRED = ["xml_plan", "flow_evidence_trace", "diagnostic_graph", "serial_xml", "fused_workflow", "arg_audit_report", "audit_resolution_report", "operation_xml_dir"]
@@ -58,11 +59,11 @@ def run_metrics(nodes: DataFrame, args: DataFrame, operations: DataFrame, graph:
         by(decisions).agg(F.count_if("audit_review").alias("audit_review_items"), F.count_if("requires_review").alias("resolution_review_required")),
     ]
     docs = documents.select("doc", "xml")
-    tree = node_table(docs)
-    broken = xml_issues(docs, tree).select("doc").distinct().withColumn("broken", F.lit(True))
-    judged = documents.select("workload", "doc", "kind").join(xml_stats(tree), "doc", "left").join(broken, "doc", "left").withColumn("ok", c("broken").isNull())
+    # Issues and counts come from one aggregate over the nodes, which are parsed once.
+    found = judged(docs, node_table(docs)).select("doc", "script_nodes", "parallel_nodes", (F.size("issues") == 0).alias("ok"))
+    of_docs = documents.select("workload", "doc", "kind").join(found, "doc", "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
     of = lambda kind, what: F.coalesce(F.sum(F.when(c("kind") == kind, what)), F.lit(0))
-    parts.append(by(judged).agg(
+    parts.append(by(of_docs).agg(
         F.count_if(c("kind") == "operation").alias("operation_xml_files"), F.count_if((c("kind") == "operation") & c("ok")).alias("operation_xml_valid"), F.bool_and(F.when(c("kind") == "serial", c("ok"))).cast("int").alias("serial_xml_valid"),
         F.bool_and(F.when(c("kind") == "fused", c("ok"))).cast("int").alias("fused_xml_valid"), of("serial", c("script_nodes")).alias("serial_script_nodes"), of("serial", c("parallel_nodes")).alias("serial_parallel_nodes"),
         of("fused", c("script_nodes")).alias("fused_script_nodes"), of("fused", c("parallel_nodes")).alias("fused_parallel_nodes"),
@@ -77,9 +78,11 @@ def report(metrics: DataFrame, expectations: DataFrame, artifacts: DataFrame, cr
     """workload, check_name, expected, actual, passed: one row for every check that has an expectation.
 
     ``expectations`` has workload, name and expected (number); ``artifacts`` workload and name of what is there; ``critical``
-    workload, node, arg and value that the run's ``args`` (workload, node, arg, value) must have.
+    workload, node, arg and value that the run's ``args`` (workload, node, arg, value) must have. Several parts read the metrics, a
+    few rows a workload: they are written first, so that the artifacts are folded once.
     """
     spark, c = metrics.sparkSession, F.col
+    metrics = written(metrics, "regression-metrics")
     known = metrics.select("workload").union(expectations.select("workload")).union(artifacts.select("workload")).distinct()
     there = artifacts.select("workload", "name").distinct().withColumn("there", F.lit(True))
     files = known.withColumn("name", F.explode(F.array(*map(F.lit, REQUIRED)))).join(there, ["workload", "name"], "left")
@@ -87,10 +90,10 @@ def report(metrics: DataFrame, expectations: DataFrame, artifacts: DataFrame, cr
     whole = files.groupBy("workload").agg(F.bool_and("passed").alias("complete")).filter("complete").select("workload")
 
     declared = F.broadcast(spark.createDataFrame([(k, EXPECTED_BY.get(k, k), m, r) for k, m, r in CHECKS], "check_name string, name string, metric string, rule string"))
-    judged = expectations.filter("expected IS NOT NULL").join(declared, "name").join(metrics, ["workload", "metric"], "left")
+    asked = expectations.filter("expected IS NOT NULL").join(declared, "name").join(metrics, ["workload", "metric"], "left")
     ok = F.when(c("rule") == "=", c("value") == c("expected")).when(c("rule") == ">=", c("value") >= c("expected")).otherwise(c("value") <= c("expected"))
     shown = lambda x: F.format_string("%.6f", x)
-    numbers = judged.select("workload", "check_name", F.when(c("rule") == "=", shown(c("expected"))).otherwise(F.concat("rule", F.lit(" "), shown(c("expected")))).alias("expected"), F.when(c("value").isNotNull(), shown(c("value"))).alias("actual"), F.coalesce(ok, F.lit(False)).alias("passed"))
+    numbers = asked.select("workload", "check_name", F.when(c("rule") == "=", shown(c("expected"))).otherwise(F.concat("rule", F.lit(" "), shown(c("expected")))).alias("expected"), F.when(c("value").isNotNull(), shown(c("value"))).alias("actual"), F.coalesce(ok, F.lit(False)).alias("passed"))
     valid = metrics.filter(c("metric").isin("serial_xml_valid", "fused_xml_valid")).select("workload", c("metric").alias("check_name"), F.lit("valid XML").alias("expected"), F.when(c("value") == 1, "valid XML").otherwise("invalid XML").alias("actual"), (c("value") == 1).alias("passed"))
     out = numbers.unionByName(valid)
     if critical is not None:

@@ -47,3 +47,11 @@ def test_vector_records_make_the_chunks_once(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(vector_queries, "_chunks", counting)
     n = len(vector_queries.vector_records(spark, str(tmp_path)).collect())
     assert n == 2 * made[0].value and len(made) == 1
+
+
+def test_a_report_reads_the_metrics_once(spark):
+    metrics, seen = _counted(spark, spark.createDataFrame([(1, "flow_steps", 2.0), (1, "serial_xml_valid", 1.0)], "workload int, metric string, value double"), "metric")
+    expected = spark.createDataFrame([(1, "flow_steps", 2.0)], "workload int, name string, expected double")
+    have = spark.createDataFrame([(1, n) for n in regression.REQUIRED], "workload int, name string")
+    got = regression.report(metrics, expected, have).collect()
+    assert len(got) == len(regression.REQUIRED) + 2 and all(r["passed"] for r in got) and seen.value == 2
