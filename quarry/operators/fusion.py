@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.planning import _attributes, _escape
+from quarry.sources.workspace import written
 
 # Elements that hold a flow, and attributes of a script node in order with what the plan may say.
 FLOWS = ["PhaseNode", "SerialNode"]
@@ -87,6 +88,8 @@ def fuse_workflow(nodes: DataFrame, plan: DataFrame, plan_args: DataFrame, mode:
     by step, those of one step as tasks of a parallel node by (row, name). Of planned nodes of one name the first is merged.
     """
     c = F.col
+    # Scripts, boxes, arguments, parents and events all read the nodes: written first, no document is parsed twice.
+    nodes = written(nodes, "workflow-nodes")
     base = nodes.filter("pre >= 0")
     w = Window.partitionBy("doc", "name").orderBy("pre")
     scripts = base.filter("tag = 'ScriptNode'").withColumn("name", c("attrs")["Name"]).filter("name <> ''").withColumn("nth", F.row_number().over(w)).filter("nth = 1")

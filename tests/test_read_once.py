@@ -55,3 +55,13 @@ def test_a_report_reads_the_metrics_once(spark):
     have = spark.createDataFrame([(1, n) for n in regression.REQUIRED], "workload int, name string")
     got = regression.report(metrics, expected, have).collect()
     assert len(got) == len(regression.REQUIRED) + 2 and all(r["passed"] for r in got) and seen.value == 2
+
+
+def test_fusion_reads_the_nodes_once(spark):
+    xml = '<SerialNode><Serials><ScriptNode Name="a" ClassName="C"><Args><Arg ArgName="x"> </Arg></Args></ScriptNode></Serials></SerialNode>'
+    nodes, seen = _counted(spark, X.node_table(spark.createDataFrame([(1, xml)], "doc int, xml string")), "tag")
+    plan = spark.createDataFrame([(1, 1, "s", 0, n, "C", "NORMAL", 0, 1, "false") for n in "ab"], "doc int, step int, step_key string, row int, node string, class string, script_type string, dead_ms int, retry_times int, interupt_start string")
+    args = spark.createDataFrame([(1, "a", 1, "x", "v")], "doc int, node string, ord int, arg string, value string")
+    fused, _, _ = fusion.fuse_workflow(nodes, plan, args, indent=False)
+    (row,) = fused.collect()
+    assert '<Arg ArgName="x">v</Arg>' in row["xml"] and 'Name="b"' in row["xml"] and seen.value == 5
