@@ -110,11 +110,12 @@ def fields(cells: DataFrame) -> DataFrame:
     Rows without a filled cell do not count; of places with one header in a row the last filled one stays.
     """
     c = F.col
-    filled = cells.join(cells.filter("text <> ''").select("doc", "table_index", "row").distinct(), ["doc", "table_index", "row"], "left_semi")
-    top = filled.groupBy("doc", "table_index").agg(F.min("row").alias("top"))
-    placed = filled.join(top, ["doc", "table_index"])
-    heads = placed.filter("row = top").select("doc", "table_index", "column", header(c("text")).alias("header")).filter("header <> ''")
-    pairs = placed.filter("row > top AND text <> ''").join(heads, ["doc", "table_index", "column"])
+    table = Window.partitionBy("doc", "table_index")
+    column = Window.partitionBy("doc", "table_index", "column")
+    # Only filled cells say anything; they are read once, and a table's header meets them by windows.
+    placed = cells.filter("text <> ''").withColumn("top", F.min("row").over(table))
+    headed = placed.withColumn("header", F.max(F.when(c("row") == c("top"), header(c("text")))).over(column))
+    pairs = headed.filter("row > top AND header <> ''")
     last = pairs.groupBy("doc", "table_index", "row", "header").agg(F.max_by("text", "column").alias("cell"), F.min("column").alias("at"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "header", "cell"))), lambda x: F.struct(x["header"].alias("header"), x["cell"].alias("cell")))
     return last.groupBy("doc", "table_index", "row").agg(ordered.alias("fields"))

@@ -65,3 +65,10 @@ def test_fusion_reads_the_nodes_once(spark):
     fused, _, _ = fusion.fuse_workflow(nodes, plan, args, indent=False)
     (row,) = fused.collect()
     assert '<Arg ArgName="x">v</Arg>' in row["xml"] and 'Name="b"' in row["xml"] and seen.value == 5
+
+
+def test_cells_of_tables_are_read_once(spark):
+    rows = [("d", 0, 0, 0, ""), ("d", 0, 1, 0, "a  b"), ("d", 0, 1, 1, "c"), ("d", 0, 1, 2, ""), ("d", 0, 2, 0, "1"), ("d", 0, 2, 1, ""), ("d", 0, 2, 2, "x"), ("d", 0, 3, 1, "2"), (None, 0, 0, 0, "h"), (None, 0, 1, 0, "v")]
+    cells, seen = _counted(spark, spark.createDataFrame(rows, 'doc string, table_index int, row int, column int, text string'), "text")
+    got = {(r["doc"], r["row"]): [tuple(x) for x in r["fields"]] for r in tables.fields(cells).collect()}
+    assert got == {("d", 2): [("A B", "1")], ("d", 3): [("C", "2")], (None, 1): [("H", "v")]} and seen.value == len(rows)
