@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens_floor
+from quarry.sources.workspace import written
 
 # How each profile's prompt begins, its answer's form, and its token range, cache mode and tags.
 PROFILES = {
@@ -23,6 +24,8 @@ PROFILES = {
 LONG_GENERATION = 8192
 EXCERPT = 240
 NONE = "None"
+#: Hexadecimal digits of a hash by which a sample's items are counted.
+DIGITS = 4
 
 
 def _or_none(text: Column) -> Column:
@@ -48,19 +51,35 @@ def slug(value: Column) -> Column:
     return F.when(bare == "", F.lit("item")).otherwise(bare)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with nth, their number from 0 on within a workload by ``ord``.
+
+    Rows are dealt by ranges of (workload, ord), sorted there and written with their places; a number is a place less the
+    first one of its workload in that range, plus what earlier ranges hold of it. So no workload has to fit into one task.
+    """
+    dealt = rows.repartitionByRange("workload", "ord").sortWithinPartitions("workload", "ord")
+    placed = written(dealt.withColumn("_place", F.monotonically_increasing_id()), "replay-rows").withColumn("_range", F.shiftright("_place", 33))
+    # A row for each workload in each range; written, so that Spark knows its size.
+    held = written(placed.groupBy("workload", "_range").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")), "replay-ranges")
+    earlier = Window.partitionBy("workload").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select(F.col("workload").alias("_of"), F.col("_range").alias("_in"), (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    met = placed.join(starts, F.col("workload").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_in")))
+    return met.withColumn("nth", F.col("_place") + F.col("_shift")).drop("_place", "_range", "_of", "_in", "_shift")
+
+
 def _items(rows: DataFrame, profile: str, fields: list[tuple[str, Column]], parts: list[str]) -> DataFrame:
-    """workload, item_id, profile, prompt, tokens, max_tokens, min_tokens, cache_mode, tags: one item for each row, by ``ord``."""
+    """workload, item_id (where rows have a number nth), profile, prompt, tokens, max_tokens, min_tokens, cache_mode, tags: one item for each row."""
     intro, most, least, cache, tags = PROFILES[profile]
     said = [F.lit("\n".join([*intro, ""])), *[F.concat(F.lit(f"{name}: "), value) if name[-1] != "\n" else F.concat(F.lit(name), value) for name, value in fields]]
-    nth = F.row_number().over(Window.partitionBy("workload").orderBy("ord")) - 1
     named = F.array_join(F.transform(F.filter(F.array(*[F.trim(F.coalesce(p, F.lit(""))) for p in parts]), lambda p: p != ""), slug), "-")
     prompt = F.trim(F.array_join(F.array(*said), "\n"))
-    made = rows.select("workload", F.concat(F.format_string(f"{profile}:%03d:", nth), F.coalesce(F.nullif(named, F.lit("")), F.lit("item"))).alias("item_id"), F.lit(profile).alias("profile"), prompt.alias("prompt"))
+    ids = [F.concat(F.format_string(f"{profile}:%03d:", "nth"), F.coalesce(F.nullif(named, F.lit("")), F.lit("item"))).alias("item_id")] if "nth" in rows.columns else []
+    made = rows.select("workload", *ids, F.lit(profile).alias("profile"), prompt.alias("prompt"))
     return made.select("*", tokens_floor(F.col("prompt")).alias("tokens"), F.lit(most).alias("max_tokens"), F.lit(least).alias("min_tokens"), F.lit(cache).alias("cache_mode"), F.lit(tags).alias("tags"))
 
 
-def trace_items(operations: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Items of the four families that traces give rise to.
+def trace_items(operations: DataFrame, decisions: DataFrame, ids: bool = True) -> DataFrame:
+    """Items of the four families that traces give rise to; without ``ids`` they have no item_id, and no row is sorted for one.
 
     ``operations`` (workload, ord, node, template, selected (evidence ids), matches, notes, paths, args (array of name, value, score
     as text), missing); ``decisions`` (workload, ord, node, arg, class, plan_value, base_value, fused_value, action, reason,
@@ -71,16 +90,19 @@ def trace_items(operations: DataFrame, decisions: DataFrame) -> DataFrame:
     args = _or_none(F.array_join(F.transform(F.slice("args", 1, 8), lambda a: F.concat(a["name"], F.lit("="), a["value"], F.lit(" (score="), a["score"], F.lit(")"))), "; "))
     notes = _or_none(F.array_join(F.slice("notes", 1, 6), "; "))
     last = Window.partitionBy("workload", "node").orderBy(F.desc("ord"))
-    known = operations.filter(F.trim("node") != "").withColumn("_n", F.row_number().over(last)).filter("_n = 1").select("workload", "node", "matches", "notes", "paths", "args")
+    # Dealt first: before it is, the window would sort all that a task reads, and small files hold many rows.
+    known = operations.filter(F.trim("node") != "").repartition("workload", "node").withColumn("_n", F.row_number().over(last)).filter("_n = 1").select("workload", "node", "matches", "notes", "paths", "args")
     asked = decisions.filter("requires_review").join(known, ["workload", "node"], "left")
     lists = {"matches": operations.schema["matches"].dataType, "notes": operations.schema["notes"].dataType, "paths": operations.schema["paths"].dataType, "args": operations.schema["args"].dataType}
     asked = asked.withColumns({k: F.coalesce(c(k), F.array().cast(t)) for k, t in lists.items()})
+    number = numbered if ids else lambda rows: rows
+    asked = number(asked)  # two families count the same rows
     conflict = [("Node", text("node")), ("Template", text("class")), ("Arg", text("arg")), ("PlanValue", text("plan_value")), ("BaseValue", text("base_value")), ("FusedValue", text("fused_value"))]
     audit = _items(asked, "short_audit", [*conflict, ("Reason", text("reason")), ("EvidenceIds", _ids(c("evidence"))), ("SelectedArgs", args), ("OperationNotes", notes)], ["node", "arg"])
     repair = _items(asked, "repair", [*conflict, ("CurrentAction", text("action")), ("Reason", text("reason")), ("GraphPaths:\n", _lines(c("paths"), 6)), ("Evidence:\n", _matches(5))], ["node", "arg"])
     where = [("Operation", text("node")), ("Template", text("template"))]
-    rerank = _items(operations.filter(F.size("matches") > 0), "rerank", [*where, ("SelectedEvidenceIds", _ids(c("selected"))), ("Candidates:\n", _matches(5))], ["node"])
-    context = _items(operations, "long_context", [*where, ("SelectedArgs", args), ("MissingFields", _ids(c("missing"))), ("OperationNotes", notes), ("GraphPaths:\n", _lines(c("paths"), 8)), ("RetrievalEvidence:\n", _matches(6))], ["node"])
+    rerank = _items(number(operations.filter(F.size("matches") > 0)), "rerank", [*where, ("SelectedEvidenceIds", _ids(c("selected"))), ("Candidates:\n", _matches(5))], ["node"])
+    context = _items(number(operations), "long_context", [*where, ("SelectedArgs", args), ("MissingFields", _ids(c("missing"))), ("OperationNotes", notes), ("GraphPaths:\n", _lines(c("paths"), 8)), ("RetrievalEvidence:\n", _matches(6))], ["node"])
     return audit.unionByName(rerank).unionByName(context).unionByName(repair)
 
 
@@ -90,10 +112,20 @@ def generation_profile(prompt: Column) -> Column:
 
 
 def sample(items: DataFrame, per_profile: int, key: str) -> DataFrame:
-    """At most ``per_profile`` items of each profile: those of the lowest hash of key, workload and item id."""
+    """At most ``per_profile`` items of each profile: those of the lowest hash of key, workload and item id.
+
+    Items are counted by the first digits of their hashes; only those up to the digits by which a profile has its number
+    are sorted, and nothing but they has its prompt made.
+    """
     h = F.md5(F.concat_ws("\x00", F.lit(key), "workload", "item_id"))
+    head = F.conv(F.substring(h, 1, DIGITS), 16, 10).cast("int")
+    # At most 16 ** DIGITS rows of counts for each profile, and a row of limits; written, so that Spark knows its size.
+    up_to = Window.partitionBy("profile").orderBy("_head")
+    counts = items.groupBy("profile", head.alias("_head")).agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(up_to) - F.col("_n"))
+    limits = written(counts.filter(F.col("_before") < per_profile).groupBy(F.col("profile").alias("_of")).agg(F.max("_head").alias("_last")), "replay-limits")
+    few = items.join(limits, F.col("profile").eqNullSafe(F.col("_of")) & (head <= F.col("_last")), "left_semi")
     w = Window.partitionBy("profile").orderBy(h, "workload", "item_id")
-    return items.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_profile).drop("_r")
+    return few.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_profile).drop("_r")
 
 
 def summary(items: DataFrame) -> DataFrame:

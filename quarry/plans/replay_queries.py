@@ -76,4 +76,4 @@ def replay_sample(spark, d):
 
 @query(f"WITH {_ITEMS} SELECT workload, profile, count(*) AS items, round(avg(length(prompt)), 2) AS avg_prompt_chars, max(length(prompt)) AS max_prompt_chars FROM items GROUP BY ALL")
 def replay_summary(spark, d):
-    return R.summary(R.trace_items(*_sources(spark, d)))
+    return R.summary(R.trace_items(*_sources(spark, d), ids=False))

@@ -1,5 +1,9 @@
 """Replay datasets on literal traces: prompts, numbers, joins by the last operation of a name, and samples that do not depend on partitions."""
 
+import hashlib
+
+from pyspark.sql import functions as F
+
 from quarry.operators import replay as R
 
 OPS = "workload string, ord int, node string, template string, selected array<string>, matches array<struct<evidence_id:string,score:string,terms:array<string>,excerpt:string>>, notes array<string>, paths array<string>, args array<struct<name:string,value:string,score:string>>, missing array<string>"
@@ -36,3 +40,24 @@ def test_samples_and_profiles(spark):
     assert sums == {("w", "short_audit"): 2, ("w", "repair"): 2, ("w", "rerank"): 1, ("w", "long_context"): 3, ("v", "long_context"): 1}
     df = spark.createDataFrame([("x" * 4 * 8192,), ("x" * (4 * 8192 + 4),), ("",)], "p string")
     assert [r[0] for r in df.select(R.generation_profile(df["p"])).collect()] == ["xml_generation", "long_context_xml_generation", "xml_generation"]
+
+
+def test_no_workload_is_numbered_in_one_task(spark):
+    """Rows of one workload, and of none, are numbered over several tasks."""
+    rows = [(w, (i * 7919) % 500) for i in range(500) for w in ("w", None)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = R.numbered(spark.createDataFrame(rows, "workload string, ord int").repartition(5)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 1000 and all(r["nth"] == r["ord"] for r in got) and len({r["task"] for r in got if r["workload"] == "w"}) > 1
+
+
+def test_samples_sort_few_rows(spark):
+    """A profile with fewer items than asked for keeps them all; in a large one the least hashes are those of a full sort."""
+    items = spark.range(5000).selectExpr("'w' AS workload", "concat('i', id) AS item_id", "CASE WHEN id < 3 THEN 'rare' ELSE 'often' END AS profile")
+    got = {(r["profile"], r["item_id"]) for r in R.sample(items, 20, "k").collect()}
+    by_hash = sorted((hashlib.md5(f"k\0w\0i{i}".encode()).hexdigest(), f"i{i}") for i in range(3, 5000))
+    assert got == {("rare", f"i{i}") for i in range(3)} | {("often", i) for _, i in by_hash[:20]}
+    plan = R.sample(items, 20, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("LeftSemi")
