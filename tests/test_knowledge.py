@@ -32,3 +32,30 @@ def test_joined_fragments_are_cut_as_one(spark):
 def test_a_fragment_within_a_fragment_is_evaluated_once(spark):
     plan = spark.range(1).select(K.fragment(K.fragment(F.concat(F.lit("a "), F.col("id").cast("string")))).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("cast(id") == 1
+
+
+def _evidence(spark, ids):
+    schema = "ord long, evidence_id string, doc_id string, evidence_type string, block_role string, content string, section_title string, parent_evidence_id string, ecu string, module string, img_path string, service_ids array<string>, fields array<struct<header:string,cell:string>>"
+    rows = [(i, e, "d", "table" if i % 2 else "text", "table_row" if i % 3 == 0 else None, "c", "Type 1" if i % 5 == 0 else None, "p", "BCM", None, "", ["22", "22", " "], [("DID", "f190"), ("did ", "0xF190"), ("Flowchart title", "T"), (None, "x")]) for i, e in enumerate(ids)]
+    return spark.createDataFrame(rows, schema)
+
+
+def test_rows_that_share_an_id_or_its_fragment_count_as_one_node(spark):
+    e = _evidence(spark, ["a b", "a_b", "a b", None, None, "ü", "c", "d", "e"])
+    told = K.memberships(e)
+    assert told.count() == told.distinct().count()
+    want = {r["graph_id"]: r["n"] for r in told.filter("kind = 'edge'").groupBy("graph_id").agg(F.countDistinct("evidence_id").alias("n")).collect()}
+    edges = {(r["source"], r["relation"], r["target"]): (r["edge_id"], r["n_evidence"]) for r in K.graph_edges(e).collect()}
+    assert len(edges) == len(want) and dict(edges.values()) == want
+    assert edges["Document:d", "document_for_ecu", "ECU:BCM"][1] == 6 and edges["ParameterField:DID=f190", "normalizes_to", "DID:0xF190"][1] == 6
+    assert edges["Table:value", "backed_by_evidence", "Evidence:value"][1] == 1 and edges["Section:value", "backed_by_evidence", "Evidence:value"][1] == 0 and edges["Table:a_b", "has_field", "ParameterField:did=0xF190"][1] == 1
+    assert edges["TableRow:value", "mentions_service", "Service:22"][1] == 0  # its only row has no id
+
+
+def test_what_a_row_alone_says_is_not_shuffled(spark):
+    e = _evidence(spark, [f"e{i}" for i in range(9)])
+    for made in (K.memberships(e), K.graph_edges(e)):
+        union, *lines = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        first = lines[: next(i for i, x in enumerate(lines) if x.startswith("+- "))]
+        # Rows that share their id with others are the second branch.
+        assert union.startswith("Union") and "Aggregate" not in "".join(first) and "Aggregate" in "".join(lines)
