@@ -108,26 +108,30 @@ def candidate_path_links(spark, d):
 _EDGE_SQL = f"WITH {_BASE}, {_EDGES}, g AS (SELECT 'Edge:' || substr(sha1(source || chr(0) || relation || chr(0) || target), 1, 20) AS edge_id, source, relation, target, count(DISTINCT evidence_id) AS n_evidence FROM r GROUP BY source, relation, target)"
 
 
+def _bare_edges(evidence):
+    """Edges by their source, relation and target, of which their id follows."""
+    return K.graph_edges(evidence).drop("edge_id")
+
+
 def _grown(spark, d):
     """A snapshot of the edges of two thirds of the evidence, and a delta for the rest."""
     evidence, root = _evidence(spark, d), folder(spark, "graph-snapshot")
-    snapshots.write(K.graph_edges(evidence.filter("ord % 3 > 0")), root, "edges", ["edge_id"])
-    old = snapshots.read(spark, root, "edges").select("edge_id", F.col("n_evidence").alias("before"))
-    more = K.graph_edges(evidence.filter("ord % 3 = 0")).join(old, "edge_id", "left")
-    snapshots.apply(more.withColumn("n_evidence", F.col("n_evidence") + F.coalesce("before", F.lit(0))).drop("before"), root, "edges")
+    snapshots.write(_bare_edges(evidence.filter("ord % 3 <> 0")), root, "edges", ["source", "relation", "target"])
+    snapshots.apply(_bare_edges(evidence.filter("coalesce(ord % 3, 0) = 0")), root, "edges", added=("n_evidence",))
     return root
 
 
 @query(f"{_EDGE_SQL} SELECT * FROM g")
 def graph_snapshot(spark, d):
     """Base and delta together equal a build from all evidence."""
-    return snapshots.read(spark, _grown(spark, d), "edges")
+    keys = ["source", "relation", "target"]
+    return snapshots.read(spark, _grown(spark, d), "edges").select(K.edge_id(F.concat_ws("\0", *keys)).alias("edge_id"), *keys, "n_evidence")
 
 
 @query(f"{_EDGE_SQL} SELECT 2 AS version, 'delta' AS kind, count(*) AS n_rows, true AS same_content FROM g")
 def graph_snapshot_manifest(spark, d):
-    """The manifest's hash, kept up by the delta, equals that of a full build in another order."""
+    """The manifest's hash, kept up by the delta, equals that of a full build, whose rows come in another order."""
     root = _grown(spark, d)
-    whole = snapshots.content_hash(K.graph_edges(_evidence(spark, d)).repartition(5, "target")).select(F.col("total").alias("t"), F.col("parity").alias("p"))
+    whole = snapshots.content_hash(_bare_edges(_evidence(spark, d)).repartition(5, "target")).select(F.col("total").alias("t"), F.col("parity").alias("p"))
     noted = snapshots.manifest(spark, root).filter("version = 2")
     return noted.join(F.broadcast(whole), F.lit(True)).select("version", "kind", "n_rows", ((F.col("total") == F.col("t")) & (F.col("parity") == F.col("p"))).alias("same_content"))

@@ -1,9 +1,9 @@
 """Versioned snapshots of keyed tables: a base layer, delta layers over it, and an order-free hash of what they hold together.
 
 A version is a folder of its own below each table and a row in the manifest; nothing that is there is written again. A read
-takes the newest base at or below a version and lays the deltas over it: rows of the base whose key no delta has, and the
-newest row of each key in the deltas, unless it is marked gone. A small delta is broadcast by Spark, so the base is
-scanned, not shuffled. The hash adds up and XORs the hashes of the rows, so it does not depend on their order, files or layers, and
+takes the newest base at or below a version and lays the deltas over it: rows of each layer whose key no later delta takes,
+unless they are marked gone. The rows that a delta takes are noted when it is written; where they are few, Spark broadcasts
+their keys, so the layers are scanned, not shuffled, however large the delta is. The hash adds up and XORs the hashes of the rows, so it does not depend on their order, files or layers, and
 a delta changes it by the rows that it touches alone.
 """
 
@@ -11,11 +11,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.workspace import written
+
 MANIFEST = "version int, kind string, name string, keys string, n_rows long, total decimal(38,0), parity long"
 GONE = "is_gone"
+#: Folder of the rows that a delta takes from the layers below it, before its version.
+REPLACED = "taken"
 
 
 def _row_hash(columns: list[str]) -> Column:
@@ -50,39 +54,59 @@ def _state(spark: SparkSession, root: str, name: str, version: int | None = None
     return rows
 
 
+def _layer(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a layer of its own, read back."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write(df: DataFrame, root: str, name: str, keys: list[str], version: int = 1) -> None:
     """A base layer: the whole table as ``version``, which must be new."""
-    spark = df.sparkSession
-    df.write.parquet(f"{root}/{name}/v{version}")
-    held = spark.read.parquet(f"{root}/{name}/v{version}")
-    _add(spark, root, version, "base", name, keys, _sums(held, held.columns).first())
+    held = _layer(df, f"{root}/{name}/v{version}")
+    _add(df.sparkSession, root, version, "base", name, keys, _sums(held, held.columns).first())
 
 
 def read(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
     """The table at a version, the newest by default."""
     rows = _state(spark, root, name, version)
     base = max(i for i, r in enumerate(rows) if r["kind"] == "base")
-    keys = rows[base]["keys"].split(",")
-    held = spark.read.parquet(f"{root}/{name}/v{rows[base]['version']}")
-    layers = [spark.read.parquet(f"{root}/{name}/v{r['version']}").withColumn("_v", F.lit(r["version"])) for r in rows[base + 1 :]]
-    if not layers:
-        return held
-    deltas = reduce(DataFrame.unionByName, layers)
-    newest = deltas if len(layers) == 1 else deltas.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_v")))).filter("_n = 1")
-    kept = held.join(newest.select(*keys), keys, "left_anti").select(*held.columns)
-    return kept.unionByName(newest.filter(~F.col(GONE)).select(*held.columns))
-
-
-def apply(delta: DataFrame, root: str, name: str) -> int:
-    """Lay ``delta`` (rows by unique, non-null keys; ``is_gone`` marks keys that leave) over the newest version; returns the new version."""
+    keys, versions = rows[base]["keys"].split(","), [r["version"] for r in rows[base:]]
+    held = spark.read.parquet(f"{root}/{name}/v{versions[0]}")
+    layers = [held, *[spark.read.parquet(f"{root}/{name}/v{v}").filter(~F.col(GONE)).select(*held.columns) for v in versions[1:]]]
+    taken = [spark.read.parquet(f"{root}/{name}/{REPLACED}{v}").select(*keys) for v in versions[1:]]
+    # A row stands until a later layer takes its key.
+    standing = [layer.join(reduce(DataFrame.unionByName, taken[i:]), keys, "left_anti").select(*held.columns) if taken[i:] else layer for i, layer in enumerate(layers)]
+    return reduce(DataFrame.unionByName, standing)
+
+
+def _touched(before: DataFrame, layer: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``before`` whose key ``layer`` has. Only hashes of keys meet at first; the rows with a hash of both are compared by their keys."""
+    hashed = lambda df: df.withColumn("_h", F.xxhash64(*keys))
+    met = written(hashed(before).select("_h").join(hashed(layer).select("_h"), "_h", "left_semi").distinct(), "snapshot-met")
+    some = lambda df: hashed(df).join(met, "_h", "left_semi").drop("_h")
+    return some(before).join(some(layer.select(*keys)), keys, "left_semi").select(*before.columns)
+
+
+def apply(delta: DataFrame, root: str, name: str, added: tuple[str, ...] = ()) -> int:
+    """Lay ``delta`` (rows by unique, non-null keys; ``is_gone`` marks keys that leave) over the newest version; returns the new version.
+
+    Columns in ``added`` are added to what the key had before. The rows that the delta takes from the layers below are a table
+    of their own beside it, so that a read need not look for them.
+    """
     spark = delta.sparkSession
     rows = _state(spark, root, name)
     keys, version = rows[-1]["keys"].split(","), rows[-1]["version"] + 1
     before = read(spark, root, name)
     path = f"{root}/{name}/v{version}"
-    (delta if GONE in delta.columns else delta.withColumn(GONE, F.lit(False))).select(*before.columns, GONE).write.parquet(path)
-    layer = spark.read.parquet(path)
-    out, new = (_sums(x, before.columns).first() for x in (before.join(layer.select(*keys), keys, "left_semi"), layer.filter(~F.col(GONE))))
+    marked = delta if GONE in delta.columns else delta.withColumn(GONE, F.lit(False))
+    rows_ = marked.select(*[F.col(f.name).cast(f.dataType) for f in before.schema.fields], GONE)
+    layer = written(rows_, "snapshot-delta") if added else _layer(rows_, path)
+    taken = _layer(_touched(before, layer, keys), f"{root}/{name}/{REPLACED}{version}")
+    if added:
+        had = taken.select(*keys, *[F.col(c).alias(f"_{c}") for c in added])
+        sums = layer.join(had, keys, "left").withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in added})
+        layer = _layer(sums.select(*layer.columns), path)
+    out, new = (_sums(x, before.columns).first() for x in (taken, layer.filter(~F.col(GONE))))
     last = rows[-1]
     _add(spark, root, version, "delta", name, keys, {"n_rows": last["n_rows"] - out["n_rows"] + new["n_rows"], "total": last["total"] - out["total"] + new["total"], "parity": last["parity"] ^ out["parity"] ^ new["parity"]})
     return version
