@@ -95,29 +95,37 @@ def vertical_gap(above: Column, below: Column) -> Column:
     return F.when((F.size(above) >= 4) & (F.size(below) >= 4), F.greatest(F.lit(0), F.get(below, F.lit(1)) - F.get(above, F.lit(3)))).otherwise(0)
 
 
+def _row_lists(body: Column) -> Column:
+    """Rows (table_index, row_index, fields) of every table of a block's HTML, as one array; see :func:`table_rows`."""
+    cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), T.cleaned)
+    tables = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(?is)<table\b.*?</table>"), F.lit(0))
+    filled = lambda html: F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), cells), lambda r: F.exists(r, lambda c: c != ""))
+    # Tables without a filled row do not count.
+    parsed = F.filter(F.transform(tables, filled), lambda rows: F.size(rows) > 0)
+    headed = F.transform(parsed, lambda rows, t: F.struct((t + 1).alias("t"), F.transform(F.get(rows, F.lit(0)), F.upper).alias("heads"), F.slice(rows, 2, F.size(rows)).alias("rows")))
+    pairs = lambda heads, row: F.filter(F.transform(heads, lambda h, i: F.struct(h.alias("header"), F.get(row, i).alias("cell"))), lambda p: (p["header"] != "") & (F.coalesce(p["cell"], F.lit("")) != ""))
+    each = F.transform(headed, lambda x: F.transform(x["rows"], lambda row, i: F.struct(x["t"].alias("table_index"), (i + 1).alias("row_index"), pairs(x["heads"], row).alias("fields"))))
+    return F.filter(F.flatten(each), lambda r: F.size(r["fields"]) > 0)
+
+
 def table_rows(blocks: DataFrame) -> DataFrame:
     """doc_id, ord, table_index, row_index and fields (header to cell, array of structs) of every row of every table.
 
     The first row of a table is its header; empty headers and cells are dropped, and so are rows without any.
     """
-    cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), T.cleaned)
-    tables = blocks.select("doc_id", "ord", F.posexplode(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(?is)<table\b.*?</table>"), F.lit(0))).alias("t", "html"))
-    parsed = tables.withColumn("rows", F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), cells), lambda r: F.exists(r, lambda c: c != "")))
-    # Tables without a filled row do not count.
-    filled = parsed.filter(F.size("rows") > 0).withColumn("table_index", F.row_number().over(Window.partitionBy("doc_id", "ord").orderBy("t")))
-    each = filled.select("doc_id", "ord", "table_index", F.transform(F.get("rows", F.lit(0)), F.upper).alias("heads"), F.posexplode("rows").alias("row_index", "cells")).filter("row_index > 0")
-    pairs = F.filter(F.transform("heads", lambda h, i: F.struct(h.alias("header"), F.get("cells", i).alias("cell"))), lambda p: (p["header"] != "") & (F.coalesce(p["cell"], F.lit("")) != ""))
-    return each.select("doc_id", "ord", "table_index", "row_index", pairs.alias("fields")).filter(F.size("fields") > 0)
+    return blocks.select("doc_id", "ord", F.inline(_row_lists(F.col("body"))))
 
 
 def semantic_chunks(blocks: DataFrame) -> DataFrame:
     """Paragraphs, tables with their rows, and images in reading order, numbered as the document's chunks.
 
     Text and equation blocks join into a paragraph until the page or type changes, a numbered heading starts after other
-    text, the boxes lie more than ``GAP`` apart, or a table or image stands between. A table's chunk is the parent of its rows.
+    text, the boxes lie more than ``GAP`` apart, or a table or image stands between. A table's chunk is the parent of its rows,
+    which stay in the table's row until the chunks have their numbers: all steps are by document, so blocks that are
+    dealt by document are not shuffled again.
     """
     in_doc = Window.partitionBy("doc_id").orderBy("ord")
-    made = blocks.withColumn("content", content())
+    made = blocks.withColumns({"content": content(), "rows": F.when((F.col("type") == "table") & F.col("doc_id").isNotNull(), _row_lists(F.col("body")))})
     made = made.withColumn("content", F.when((F.col("content") == "") & (F.col("type") == "image"), F.col("img_path")).otherwise(F.col("content"))).filter("content <> ''")
     before = lambda c: F.lag(c).over(in_doc)
     flows = F.col("type").isin("text", "equation")
@@ -129,27 +137,24 @@ def semantic_chunks(blocks: DataFrame) -> DataFrame:
     edge = lambda bs, i, pick: pick(F.transform(bs, lambda b: F.get(b, F.lit(i))))
     elements = numbered.groupBy("doc_id", "element").agg(
         F.min("ord").alias("ord"), F.first("type").alias("type"), F.array_join(ordered("content"), " ").alias("joined"), boxes.alias("boxes"), F.first("img_path").alias("img_path"), F.min_by("page", "ord").alias("page"),
-        F.transform(F.array_sort(F.collect_list("ord")), lambda o: F.format_string("%s_block_%04d", F.col("doc_id").cast("string"), o.cast("int"))).alias("source_block_ids"), F.count("*").alias("n_blocks"),
+        F.transform(F.array_sort(F.collect_list("ord")), lambda o: F.format_string("%s_block_%04d", F.col("doc_id").cast("string"), o.cast("int"))).alias("source_block_ids"), F.count("*").alias("n_blocks"), F.first("rows").alias("rows"),
     )
-    rows = table_rows(blocks.filter("type = 'table'"))
-    counted = rows.groupBy("doc_id", "ord").agg(F.count("*").alias("n_rows"))
-    sized = elements.join(counted, ["doc_id", "ord"], "left").withColumn("n_chunks", F.coalesce("n_rows", F.lit(0)) + 1)
+    sized = elements.withColumn("n_chunks", F.coalesce(F.size("rows"), F.lit(0)) + 1)
     at = Window.partitionBy("doc_id").orderBy("element").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("ordinal", F.coalesce(F.sum("n_chunks").over(at), F.lit(0)) + 1).withColumn("chunk_id", block_id("sem_", "ordinal"))
     image = F.lower(F.concat_ws(" ", "joined", "img_path"))
     kind = F.when(flows, F.when(F.col("type") == "equation", F.lit("equation")).otherwise(F.lit("paragraph"))).when(F.col("type") == "table", F.lit("table")).when(reduce(lambda a, b: a | b, [F.contains(image, F.lit(s)) for s in FLOW_CHUNK]), F.lit("flowchart")).otherwise(F.lit("image"))
     box = F.when(F.size("boxes") > 0, F.array(edge(F.col("boxes"), 0, F.array_min), edge(F.col("boxes"), 1, F.array_min), edge(F.col("boxes"), 2, F.array_max), edge(F.col("boxes"), 3, F.array_max))).otherwise(F.array().cast("array<int>"))
-    text = F.when(flows, T.cleaned(F.col("joined"))).otherwise(F.col("joined"))
-    title = F.when((kind == "paragraph") & heading(text), F.substring(text, 1, 160)).otherwise(F.lit(""))
+    wholes = placed.select("doc_id", "chunk_id", kind.alias("chunk_type"), F.when(flows, T.cleaned(F.col("joined"))).otherwise(F.col("joined")).alias("content"), "page", box.alias("bbox"), "source_block_ids", "n_blocks", "ord", "rows")
     none = F.array().cast("array<struct<header:string,cell:string>>")
-    wholes = placed.select("doc_id", "chunk_id", kind.alias("chunk_type"), text.alias("content"), "page", box.alias("bbox"), "source_block_ids", F.lit("").alias("parent_chunk_id"), title.alias("section_title"), none.alias("fields"), "n_blocks", "ord")
-    parents = wholes.filter("chunk_type = 'table'").select("doc_id", "ord", "chunk_id", "page", "bbox", "source_block_ids")
-    line = F.array_join(F.transform("fields", lambda p: F.concat(p["header"], F.lit(": "), p["cell"])), " ")
-    below = rows.join(parents, ["doc_id", "ord"]).select(
-        "doc_id", F.format_string("%s_tbl_%d_%d", F.col("chunk_id"), F.col("table_index"), F.col("row_index")).alias("chunk_id"), F.lit("table_row").alias("chunk_type"), line.alias("content"), "page", "bbox", "source_block_ids",
-        F.col("chunk_id").alias("parent_chunk_id"), F.lit("").alias("section_title"), "fields", F.lit(1).cast("long").alias("n_blocks"), "ord",
-    )
-    return wholes.unionByName(below)
+    title = F.when((F.col("chunk_type") == "paragraph") & heading(F.col("content")), F.substring("content", 1, 160)).otherwise(F.lit(""))
+    chunk = lambda *cs: F.struct(*[c.alias(n) for c, n in zip(cs, ("chunk_id", "chunk_type", "content", "parent_chunk_id", "section_title", "fields", "n_blocks"))])
+    line = lambda fields: F.array_join(F.transform(fields, lambda p: F.concat(p["header"], F.lit(": "), p["cell"])), " ")
+    name = lambda r: F.concat("chunk_id", F.lit("_tbl_"), r["table_index"].cast("string"), F.lit("_"), r["row_index"].cast("string"))
+    below = F.transform("rows", lambda r: chunk(name(r), F.lit("table_row"), line(r["fields"]), F.col("chunk_id"), F.lit(""), r["fields"], F.lit(1).cast("long")))
+    whole = F.array(chunk(F.col("chunk_id"), F.col("chunk_type"), F.col("content"), F.lit(""), title, none, F.col("n_blocks")))
+    each = wholes.select("doc_id", "page", "bbox", "source_block_ids", "ord", F.inline(F.flatten(F.array_compact(F.array(whole, below)))))
+    return each.select("doc_id", "chunk_id", "chunk_type", "content", "page", "bbox", "source_block_ids", "parent_chunk_id", "section_title", "fields", "n_blocks", "ord")
 
 
 def units_from_chunks(chunks: DataFrame) -> DataFrame:
@@ -167,6 +172,12 @@ def evidence_from_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
+def told_from_chunks(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with text, with what both of their units say: unit_type, evidence_type and identifiers, each read once."""
+    made = chunks.withColumn("content", F.trim("content")).filter("content <> ''")
+    return made.withColumns({"unit_type": coded(F.col("chunk_type"), CHUNK_UNITS, "text_chunk"), "evidence_type": coded(F.col("chunk_type"), CHUNK_EVIDENCE, "text"), **identifiers(F.col("content"))})
+
+
 def chunks_from_evidence(evidence: DataFrame) -> DataFrame:
     """Chunks of evidence rows (evidence_id, evidence_type, block_role, content): ids get the mark ``md_``."""
     role = F.coalesce("block_role", F.lit(""))

@@ -89,28 +89,41 @@ def record_content(content: Column, fields: list[Column]) -> Column:
     return F.trim(F.concat(F.coalesce(content, F.lit("")), F.lit("\n"), F.trim(F.array_join(F.array(*fields), " "))), F.lit(" \t\n\r\x0b\x0c"))
 
 
+def _fields(df: DataFrame) -> list[Column]:
+    kinds = dict(df.dtypes)
+    text = lambda c: F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c).cast("string")
+    return [F.coalesce(text(c), F.lit("")) if c in kinds else F.lit("") for c in CONTENT_FIELDS]
+
+
+def _of_unit(content: Column) -> list[Column]:
+    own = F.when(F.col("chunk_id").startswith(MARKDOWN), F.substr("chunk_id", F.lit(len(MARKDOWN) + 1))).otherwise("")
+    return [
+        F.concat(F.lit(KNOWLEDGE), "chunk_id").alias("primary_id"), F.col("chunk_id").alias("source_id"), F.lit("knowledge_unit").alias("record_type"),
+        document_of(F.col("chunk_id"), F.col("source_path")).alias("doc_id"), own.alias("source_evidence_id"), F.col("unit_type"), F.lit("").alias("evidence_type"), content.alias("content"),
+    ]
+
+
+def _of_evidence(evidence_id: str, content: Column) -> list[Column]:
+    return [
+        F.concat(F.lit(EVIDENCE), evidence_id).alias("primary_id"), F.col(evidence_id).alias("source_id"), F.lit("evidence_unit").alias("record_type"),
+        F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("source_evidence_id", F.lit("")).alias("source_evidence_id"), F.lit("").alias("unit_type"), F.col("evidence_type"), content.alias("content"),
+    ]
+
+
 def records(units: DataFrame, evidence: DataFrame) -> DataFrame:
     """primary_id, source_id, record_type, doc_id, source_evidence_id, unit_type, evidence_type, content of both kinds of units.
 
     ``units`` has chunk_id, unit_type, content, source_path and the ``CONTENT_FIELDS``; ``evidence`` evidence_id, doc_id,
     evidence_type, source_evidence_id, content and the same fields; lists are arrays. A field that is absent counts as empty.
     """
+    content = lambda df: record_content(F.col("content"), _fields(df))
+    return units.select(*_of_unit(content(units))).unionByName(evidence.select(*_of_evidence("evidence_id", content(evidence))))
 
-    def fields(df: DataFrame) -> list[Column]:
-        kinds = dict(df.dtypes)
-        text = lambda c: F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c).cast("string")
-        return [F.coalesce(text(c), F.lit("")) if c in kinds else F.lit("") for c in CONTENT_FIELDS]
 
-    own = F.when(F.col("chunk_id").startswith(MARKDOWN), F.substr("chunk_id", F.lit(len(MARKDOWN) + 1))).otherwise("")
-    first = units.select(
-        F.concat(F.lit(KNOWLEDGE), "chunk_id").alias("primary_id"), F.col("chunk_id").alias("source_id"), F.lit("knowledge_unit").alias("record_type"),
-        document_of(F.col("chunk_id"), F.col("source_path")).alias("doc_id"), own.alias("source_evidence_id"), "unit_type", F.lit("").alias("evidence_type"), record_content(F.col("content"), fields(units)).alias("content"),
-    )
-    second = evidence.select(
-        F.concat(F.lit(EVIDENCE), "evidence_id").alias("primary_id"), F.col("evidence_id").alias("source_id"), F.lit("evidence_unit").alias("record_type"),
-        F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("source_evidence_id", F.lit("")).alias("source_evidence_id"), F.lit("").alias("unit_type"), "evidence_type", record_content(F.col("content"), fields(evidence)).alias("content"),
-    )
-    return first.unionByName(second)
+def records_of_chunks(chunks: DataFrame) -> DataFrame:
+    """The records of :func:`records` for chunks that are both, the unit and the evidence of one id: each chunk is read once."""
+    made = chunks.withColumn("record", record_content(F.col("content"), _fields(chunks)))
+    return made.select(F.inline(F.array(F.struct(*_of_unit(F.col("record"))), F.struct(*_of_evidence("chunk_id", F.col("record"))))))
 
 
 def leaders(vectors: DataFrame, id_col: str = "vec_id", n_leaders: int | None = None) -> DataFrame:

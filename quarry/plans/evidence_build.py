@@ -47,8 +47,9 @@ def _code(value: str, table: dict[str, str], otherwise: str) -> str:
     return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{otherwise}' END"
 
 
-def _blocks(spark, d):
-    lines = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i0", "raw")).select("doc_id", "raw", (F.col("i0") + 1).cast("long").alias("i"))
+def _blocks(spark, d, *by):
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    lines = (docs.repartition(*by) if by else docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i0", "raw")).select("doc_id", "raw", (F.col("i0") + 1).cast("long").alias("i"))
     return lines.select("doc_id", F.col("i").alias("ord"), *[F.expr(v).alias(k) for k, v in _SPARK.items()])
 
 
@@ -99,7 +100,8 @@ chunks AS (
 
 
 def _chunks(spark, d):
-    return B.semantic_chunks(_blocks(spark, d))
+    # Dealt by document before the lines are told apart: the texts are shuffled once, and not the blocks with what they repeat.
+    return B.semantic_chunks(_blocks(spark, d, F.col("doc_id")))
 
 
 @query(f"WITH {_CHUNKS} SELECT * FROM chunks")
