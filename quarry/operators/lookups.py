@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
 
-#: Parts over which the rows of one set of tokens are dealt.
-SALTS = 16
+#: Most rows of one set of tokens that are not dealt over parts.
+COPIES = 4096
 #: Most sibling rows that one table row brings along.
 SIBLINGS = 80
 
@@ -96,17 +96,21 @@ def title_images(titles: DataFrame, images: DataFrame, threshold: float = 0.5) -
     held = lambda d, i, c, n: d.select(i, F.array_join(F.sort_array(F.array_distinct(tokens(F.col(c)))), " ").alias(n)).filter(F.col(n) != "")
     classes = lambda d, n: d.select(n).distinct().withColumn(f"{n}s", F.split(n, " "))
     own, other = held(titles, "title_id", "title", "a"), held(images, "image_id", "name", "b")
-    one, two = classes(own, "a").select("a", "as", F.explode("as").alias("token")), classes(other, "b").select("b", "bs", F.explode("bs").alias("token"))
+    sized = other.groupBy("b").agg(F.count("*").alias("copies"))
+    one, two = classes(own, "a").select("a", "as", F.explode("as").alias("token")), classes(sized, "b").select("b", "bs", F.explode("bs").alias("token"))
     often = two.groupBy("token").agg(F.count("*").alias("n"))
     ranked = one.join(often, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("n", "token")))
     rare = ranked.filter(F.col("rank") <= F.size("as") - F.ceil(F.size("as") * threshold - 1e-9) + 1).select("a", "as", "token")
     met = rare.join(two, "token").dropDuplicates(["a", "b"])
     alike = met.select("a", "b", F.round(F.size(F.array_intersect("as", "bs")) / F.size("as"), 6).alias("overlap")).filter(F.col("overlap") >= threshold)
-    # A class of many copies makes far more rows than it reads, so its images are dealt over ``SALTS`` and the partitions are counted, not coalesced by their size.
+    # A class of many copies makes far more rows than it reads, so its images are dealt over parts, and the pairs of that class alone are repeated for
+    # each; such classes are at most one for every ``COPIES`` images. The partitions are counted, not coalesced by their size.
     n = 8 * own.sparkSession.sparkContext.defaultParallelism
-    asked = own.join(alike, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(n, "b", "salt")
-    images_ = other.withColumn("salt", F.pmod(F.xxhash64("image_id"), F.lit(SALTS)).cast("int")).repartition(n, "b", "salt")
+    crowded = F.broadcast(sized.filter(F.col("copies") > COPIES).select("b", F.ceil(F.col("copies") / COPIES).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    asked = own.join(alike, "a").drop("a").join(crowded, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts").repartition(n, "b", "salt")
+    images_ = other.join(crowded, "b", "left").withColumn("salt", F.pmod(F.xxhash64("image_id"), parts).cast("int")).drop("parts").repartition(n, "b", "salt")
     return asked.join(images_, ["b", "salt"]).select("title_id", "image_id", "overlap")
 
 
