@@ -43,5 +43,5 @@ def best_table_rows(spark, d):
     least = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.min("l_partkey").alias("p"))
     name = F.when(F.col("doc") % 3 == 0, F.lit("none")).otherwise(F.concat(F.lit("P"), F.col("p").cast("string")))
     asks = least.select(F.col("doc").alias("node"), "doc", F.array(name, F.concat(F.lit("part "), name)).alias("aliases"))
-    found = TB.best_rows(TB.fields(TB.grids(docs)), asks).filter("table_index = 0")
+    found = TB.best_rows(TB.rows_of(docs), asks).filter("table_index = 0")
     return found.select("node", "row", "score", F.array_join(F.transform("fields", lambda f: F.concat(f["header"], F.lit("="), f["cell"])), ";").alias("fields"))
