@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
+from quarry.sources.workspace import written
 
 #: Most rows of one set of tokens that are not dealt over parts.
 COPIES = 4096
@@ -94,15 +95,16 @@ def title_images(titles: DataFrame, images: DataFrame, threshold: float = 0.5) -
     ``n - ceil(threshold * n) + 1``, so a very frequent token meets few classes and no pair is lost.
     """
     held = lambda d, i, c, n: d.select(i, F.array_join(F.sort_array(F.array_distinct(tokens(F.col(c)))), " ").alias(n)).filter(F.col(n) != "")
-    classes = lambda d, n: d.select(n).distinct().withColumn(f"{n}s", F.split(n, " "))
     own, other = held(titles, "title_id", "title", "a"), held(images, "image_id", "name", "b")
     sized = other.groupBy("b").agg(F.count("*").alias("copies"))
-    one, two = classes(own, "a").select("a", "as", F.explode("as").alias("token")), classes(sized, "b").select("b", "bs", F.explode("bs").alias("token"))
+    one = own.select("a").distinct().withColumn("as", F.split("a", " ")).select("a", "as", F.explode("as").alias("token"))
+    two = sized.select("b", F.explode(F.split("b", " ")).alias("token"))
     often = two.groupBy("token").agg(F.count("*").alias("n"))
     ranked = one.join(often, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("n", "token")))
-    rare = ranked.filter(F.col("rank") <= F.size("as") - F.ceil(F.size("as") * threshold - 1e-9) + 1).select("a", "as", "token")
-    met = rare.join(two, "token").dropDuplicates(["a", "b"])
+    # Written, so that Spark knows whether they are few: then they are broadcast, and the classes' tokens, each with its class, are not shuffled.
+    rare = written(ranked.filter(F.col("rank") <= F.size("as") - F.ceil(F.size("as") * threshold - 1e-9) + 1).select("a", "token"), "title-tokens")
+    met = two.join(rare, "token").select("a", "b").distinct().select("a", "b", F.split("a", " ").alias("as"), F.split("b", " ").alias("bs"))
     alike = met.select("a", "b", F.round(F.size(F.array_intersect("as", "bs")) / F.size("as"), 6).alias("overlap")).filter(F.col("overlap") >= threshold)
     # A class of many copies makes far more rows than it reads, so its images are dealt over parts, and the pairs of that class alone are repeated for
     # each; such classes are at most one for every ``COPIES`` images. The partitions are counted, not coalesced by their size.
